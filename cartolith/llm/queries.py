@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, secret_scan
+from . import byte_bpe, exact_dedup, secret_scan
 
 
 def queries():
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op3_byte_bpe": byte_bpe.op3_byte_bpe,
         "op5_secret_scan": secret_scan.op5_secret_scan,
     }
 
