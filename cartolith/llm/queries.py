@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, lang_id, packing, pii, secret_scan
+from . import byte_bpe, exact_dedup, lang_id, near_dedup, packing, pii, secret_scan
 
 
 def queries():
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_near_dedup": near_dedup.op2_near_dedup,
         "op3_byte_bpe": byte_bpe.op3_byte_bpe,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_secret_scan": secret_scan.op5_secret_scan,
