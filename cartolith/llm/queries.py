@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, lang_id, line_dedup, near_dedup, packing, pii, secret_scan
+from . import byte_bpe, exact_dedup, html_text, lang_id, line_dedup, near_dedup, packing, pii, secret_scan
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op3_byte_bpe": byte_bpe.op3_byte_bpe,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_secret_scan": secret_scan.op5_secret_scan,
+        "op6_html_text": html_text.op6_html_text,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_pii": pii.op8_pii,
         "op9_lang_id": lang_id.op9_lang_id,
