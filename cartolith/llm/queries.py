@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, html_text, lang_id, line_dedup, near_dedup, packing, pii, secret_scan
+from . import ann, byte_bpe, exact_dedup, html_text, lang_id, line_dedup, near_dedup, packing, pii, secret_scan
 
 
 def queries():
@@ -16,6 +16,7 @@ def queries():
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_pii": pii.op8_pii,
         "op9_lang_id": lang_id.op9_lang_id,
+        "op10_ann": ann.op10_ann,
     }
 
 
