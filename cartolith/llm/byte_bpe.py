@@ -18,6 +18,7 @@ bytes. Texts are read whole. Rows repeat independently; other input columns are
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from functools import lru_cache
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from . import _common as C
 
-PIECES, STATES, PAIRS = 500_000, 100_000, 1_000_000  # entries kept at most
+PIECES, STATES, PAIRS = 700_000, 400_000, 1_000_000  # entries kept at most
 NO_PREVIOUS = -1
 
 
@@ -213,6 +214,7 @@ class Tokenizer:
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str, pattern: str) -> Tokenizer:
+    gc.set_threshold(100_000, 20, 50)  # the tables hold millions of small objects, none in cycles
     return Tokenizer(path, pattern)
 
 

@@ -129,14 +129,14 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    marks = annotate(docs, id_col, text_col).where("kept").groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.count(F.lit(1)).alias("__n"))
-    rows = docs.withColumn("__sha", F.sha2(normalised(docs[text_col]), 256))
-    rows = rows.join(marks, rows["__sha"].eqNullSafe(marks["__sha"]) & docs[id_col].cast("long").eqNullSafe(marks["__id"]), "inner")
-    rows = rows.select(*[docs[c] for c in docs.columns], rows["__sha"], marks["__n"])
-    once, repeated = rows.where(F.col("__n") == 1), rows.where(F.col("__n") > 1)
-    w = Window.partitionBy(id_col, "__sha").orderBy(F.desc(F.length(F.coalesce(F.col(text_col), F.lit("")))))
-    repeated = repeated.withColumn("__n", F.row_number().over(w)).where(F.col("__n") == 1)
-    return once.unionByName(repeated).select(*docs.columns)
+    kept = annotate(docs, id_col, text_col).where("kept")
+    marks = C.materialise(kept.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.count(F.lit(1)).alias("__n")), "kept")
+    rows = docs.withColumn("__sum", F.sha2(normalised(docs[text_col]), 256))
+    rows = rows.join(marks, (rows["__sum"] == marks["__sha"]) & rows[id_col].cast("long").eqNullSafe(marks["__id"]))
+    if marks.where("__n > 1").take(1):  # rows repeat an id
+        w = Window.partitionBy(id_col, "__sum").orderBy(F.desc(F.length(F.coalesce(F.col(text_col), F.lit("")))))
+        rows = rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") == 1)
+    return rows.select(*docs.columns)
 
 
 ORACLE = r"""

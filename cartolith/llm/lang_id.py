@@ -129,6 +129,8 @@ class Model:
             probability = self._probabilities(self.rows(flat), n)
             some = n > 0
             score[some] = np.add.reduceat(probability * weight[:, None], (np.cumsum(n) - n)[some], axis=0)
+        if not self.languages:
+            return [UNKNOWN] * len(texts), [0.0] * len(texts)
         total = score.sum(axis=1)
         best = score.argmax(axis=1)
         lang = [self.languages[b] if t > 0 else UNKNOWN for b, t in zip(best, total)]
