@@ -40,3 +40,13 @@ def write_single(df: DataFrame, path: str, write, suffixes: tuple = ("",)) -> in
         if os.path.exists(made["file"] + suffix):
             os.replace(made["file"] + suffix, path + suffix)
     return made["rows"]
+
+
+def scratch(spark, name: str) -> str:
+    """A path for an intermediate file that executors and driver share: in spark.checkpoint.dir where that is set."""
+    import tempfile
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    folder = f"{base.removeprefix('file://')}/cartolith-layers/{uuid.uuid4().hex}"
+    os.makedirs(folder, exist_ok=True)
+    return f"{folder}/{name}"
