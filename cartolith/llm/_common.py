@@ -56,6 +56,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def smallest(df: DataFrame, key: str, n: int) -> list:
+    """The n rows of df with the smallest keys (more if keys tie with the last one), at the driver.
+
+    The keys are ranked first, by themselves, so that no task sends more than n numbers; then only the rows
+    wanted are read.
+    """
+    keys = df.select(key).orderBy(key).limit(n).collect()
+    return df.where(F.col(key) <= keys[-1][0]).collect() if keys else []
+
+
 def shards_for(rows: int, per_shard: int) -> int:
     """How many shards of about per_shard rows hold so many rows: grows with the input, at least 1."""
     return max(1, -(-rows // per_shard))

@@ -106,11 +106,12 @@ def pack(codes: np.ndarray) -> np.ndarray:
 
 def fit(vectors: DataFrame, sample: int = SAMPLE) -> Quantiser | None:
     """vectors: vec_id, embedding. A quantiser, or None if there is no usable vector."""
-    rows = vectors.where(usable(vectors["embedding"])).select(F.xxhash64("vec_id").alias("h"), "vec_id", "embedding").orderBy("h", "vec_id").limit(sample).collect()
+    rows = C.smallest(vectors.where(usable(vectors["embedding"])).select(F.xxhash64("vec_id").alias("h"), "vec_id", "embedding"), "h", sample)
     if not rows:
         return None
+    rows = sorted(rows, key=lambda r: (r["h"], str(r["vec_id"])))[:sample]
     dims = np.bincount([len(r["embedding"]) for r in rows])
-    x = np.array([r["embedding"] for r in sorted(rows, key=lambda r: (r["h"], r["vec_id"])) if len(r["embedding"]) == dims.argmax()], np.float64)
+    x = np.array([r["embedding"] for r in rows if len(r["embedding"]) == dims.argmax()], np.float64)
     return Quantiser.fit(x / np.linalg.norm(x, axis=1, keepdims=True))
 
 

@@ -280,8 +280,9 @@ def train(pages: list[str], rounds: int = 200) -> list[float]:
 
 
 def fit(pages: DataFrame, html_col: str = "html", url_col: str = "url", sample: int = SAMPLE) -> list[float]:
-    rows = pages.where(pages[html_col].isNotNull()).select(F.xxhash64(pages[url_col], pages[html_col]).alias("h"), pages[html_col].alias("html")).orderBy("h").limit(sample).collect()
-    return train([r["html"] for r in sorted(rows, key=lambda r: (r["h"], r["html"]))])
+    rows = pages.where(pages[html_col].isNotNull()).select(F.xxhash64(pages[url_col]).alias("h"), pages[html_col].alias("html"))
+    rows = sorted(C.smallest(rows, "h", sample), key=lambda r: (r["h"], r["html"]))[:sample]
+    return train([r["html"] for r in rows])
 
 
 def text_of(pages: DataFrame, weights, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -255,12 +255,10 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """A model from at most `sample` rows of labelled, chosen by a hash of the id (a top-k, no sort of all)."""
-    rows = (
-        labelled.where(labelled[text_col].isNotNull() & labelled[lang_col].isNotNull())
-        .select(labelled[text_col].alias("text"), labelled[lang_col].alias("lang"), F.xxhash64(labelled[id_col].cast("string")).alias("h"))
-        .orderBy("h", F.xxhash64("text")).limit(sample).collect()
-    )
-    rows.sort(key=lambda r: (r["h"], r["text"]))
+    rows = labelled.where(labelled[text_col].isNotNull() & labelled[lang_col].isNotNull()).select(
+        labelled[text_col].alias("text"), labelled[lang_col].alias("lang"), F.xxhash64(labelled[id_col].cast("string")).alias("h")
+    )
+    rows = sorted(C.smallest(rows, "h", sample), key=lambda r: (r["h"], r["text"]))[:sample]
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
