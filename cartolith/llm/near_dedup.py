@@ -8,15 +8,18 @@ number of bands for a probability below MISS at that similarity.
 
 1. Texts with the same set are one class, represented by the smallest id. Only classes go on.
 2. In each bucket of a band, every class is compared with the bucket's first class, on full sets (star).
-3. Components of the links so far. In buckets that hold several components, all pairs of classes of
-   different components that the metric does not rule out are compared: Jaccard distance obeys the triangle
-   inequality, so that two classes whose known distances from the bucket's first class differ by more than
-   the threshold allows cannot be linked. Then the components are made again.
-
-So every pair that shares a bucket is compared, unless it is in one component already or ruled out by the
-metric: no link that changes a component is lost to bucket sizes. Nothing is capped. Bucket sums combine on
-the map side; copies of a text make one class; hot buckets are split by adaptive execution in joins, and
-classes are compared after a join on the pair, so that a hot class spreads over tasks.
+3. Components of the links so far. In buckets that hold several components, pairs of classes of different
+   components are left. In buckets of up to SMALL classes those pairs are compared that the metric does not rule
+   out: Jaccard distance obeys the triangle inequality, so that two classes whose known distances from the
+   bucket's first class differ by more than the threshold allows are not linked. The classes of larger buckets
+   are joined by an exact set-similarity join (prefix, length and positional filters on shingles ordered by
+   rarity, as in line_dedup.py) that makes only pairs of different components. Then the components are made again.
+
+So every pair that shares a bucket is compared, unless it is in one component already or the filters prove
+that it is not similar enough: no link that changes a component is lost to the size of a bucket. Nothing is
+capped, and pairs within a group of linked copies are not made. Bucket sums combine on the map side; copies of
+a text make one class; hot buckets are split by adaptive execution in joins, and classes are compared after a
+join on the pair, so that a hot class spreads over tasks.
 
 Sets are compared as sorted 64-bit hashes of the shingles. Edge cases: texts without words (null and empty
 ones) have an empty set and are linked with nothing; texts with fewer words than a shingle have one shingle.
@@ -37,12 +40,11 @@ from pyspark.sql import functions as F
 
 from . import _common as C
 from .components import components
+from .line_dedup import matches
 
 ROWS, MISS, SEED = 5, 1e-6, 0x5EED
 WORDS_KEPT = 400_000
-
-_words: dict[bytes, int] = {}
-
+SMALL = 64  # classes of a bucket up to which its open pairs are compared one by one
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
@@ -143,6 +145,15 @@ def _compare(size: int):
     return run
 
 
+def _tokens(size: int):
+    def run(batches):
+        for batch in batches:
+            sets = [shingles(x, size).astype(np.int64) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], ["id", "component", "tokens"])
+
+    return run
+
+
 def compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """Sizes of intersection and union for pairs (u, v); texts: node, text."""
     side = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"{name}_text"))
@@ -159,32 +170,31 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     classes = sets.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.first("bands").alias("bands"))
     classes = C.materialise(classes, "classes")
 
-    buckets = classes.select("node", "n", F.explode("bands").alias("band"))
+    buckets = classes.select("node", F.explode("bands").alias("band"))
     shared = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("first")).where("members > 1").select("band", "first")
-    members = C.materialise(buckets.join(shared, "band").select("band", "first", "node", "n"), "members")
-    size_of = classes.select("node", "n")
-    star = members.where("node > first").select(F.col("first").alias("u"), F.col("node").alias("v"), F.col("n").alias("v_n")).distinct()
+    members = C.materialise(buckets.join(shared, "band").select("band", "first", "node"), "members")
+    star = members.where("node > first").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct()
     nodes = members.select("node").distinct()
     texts = docs.join(nodes, docs.doc_id == nodes.node, "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.max("text").alias("text"))
     texts = C.materialise(texts, "texts")
-    known = C.materialise(compared(star.select("u", "v"), texts, size), "compared")
-    linked = F.expr(f"100 * common >= {percent} * united")
-    links = known.where(linked).select("u", "v")
+    known = C.materialise(compared(star, texts, size), "compared")
+    links = known.where(f"100 * common >= {percent} * united").select("u", "v")
     label = components(links)
 
     # what is left: pairs of a bucket that lie in different components
     at = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    at = at.join(known.select(F.col("u").alias("first"), F.col("v").alias("node"), (1 - F.col("common") / F.col("united")).alias("far")), ["first", "node"], "left")
-    at = at.withColumn("far", F.coalesce("far", F.lit(0.0)))
-    mixed = at.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("band")
-    at = C.materialise(at.join(mixed, "band", "left_semi").where("node > first").select("band", "node", "n", "component", "far"), "mixed")
-    x, y = at.alias("x"), at.alias("y")
-    limit = 1 - percent / 100 + 1e-9
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-                   & (F.abs(F.col("x.far") - F.col("y.far")) <= limit)
-                   & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
-    pairs = pairs.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
-    more = C.materialise(compared(pairs, texts, size).where(linked).select("u", "v"), "more")
+    far = known.select(F.col("u").alias("first"), F.col("v").alias("node"), (1 - F.col("common") / F.col("united")).alias("far"))
+    at = at.join(far, ["first", "node"], "left").select("band", "node", "component", F.coalesce("far", F.lit(0.0)).alias("far"))
+    mixed = at.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("k")).where("a < b")
+    at = C.materialise(at.join(mixed.select("band", "k"), "band"), "mixed")
+    x, y = at.where(F.col("k") <= SMALL).alias("x"), at.where(F.col("k") <= SMALL).alias("y")
+    apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & (F.abs(F.col("x.far") - F.col("y.far")) <= 1 - percent / 100 + 1e-9)
+    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & apart).select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
+    small = compared(pairs, texts, size).where(f"100 * common >= {percent} * united").select("u", "v")
+    in_large = at.where(F.col("k") > SMALL).select("node", "component").distinct()
+    rest = texts.join(in_large, "node").select("node", "component", "text").mapInArrow(_tokens(size), "id long, component long, tokens array<long>")
+    large = matches(C.materialise(rest, "rest"), percent, "component").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    more = C.materialise(small.union(large), "more")
     if more.take(1):
         label = components(links.union(more))
     of_class = classes.join(label, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
