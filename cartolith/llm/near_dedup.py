@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import _common as C
 from .components import components
-from .line_dedup import matches
+from .line_dedup import BUCKETS, level_array, matches
 
 ROWS, MISS, SEED = 5, 1e-6, 0x5EED
 WORDS_KEPT = 400_000
@@ -154,6 +154,16 @@ def _tokens(size: int):
     return run
 
 
+def _bucket_counts(batches):
+    """How often each hash bucket of shingles occurs in a partition: a row a bucket, whatever the partition holds."""
+    n = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        n += np.bincount(batch.column(0).flatten().to_numpy() % BUCKETS, minlength=BUCKETS)
+    at = np.flatnonzero(n)
+    if len(at):
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["b", "n"])
+
+
 def compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """Sizes of intersection and union for pairs (u, v); texts: node, text."""
     side = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"{name}_text"))
@@ -193,7 +203,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     small = compared(pairs, texts, size).where(f"100 * common >= {percent} * united").select("u", "v")
     in_large = at.where(F.col("k") > SMALL).select("node", "component").distinct()
     rest = texts.join(in_large, "node").select("node", "component", "text").mapInArrow(_tokens(size), "id long, component long, tokens array<long>")
-    large = matches(C.materialise(rest, "rest"), percent, "component").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    rest = C.materialise(rest, "rest")
+    counts = rest.select("tokens").mapInArrow(_bucket_counts, "b int, n long").groupBy("b").agg(F.sum("n").alias("n"))
+    large = matches(rest, level_array(counts), percent, "component").select(F.col("a").alias("u"), F.col("b").alias("v"))
     more = C.materialise(small.union(large), "more")
     if more.take(1):
         label = components(links.union(more))
