@@ -301,6 +301,20 @@ def test_line_dedup(docs):
     assert line_dedup.annotate(empty(docs)).count() == 0
 
 
+def test_line_dedup_links_and_classes(spark, tmp_path):
+    base = [f"w{i}" for i in range(20)]
+    lines = [" ".join(base[:k] + [f"v{k}x{j}"] + base[k + 1 :]) for k in range(20) for j in range(6)]  # 120 variants of a line
+    texts = [*lines, "other words here\n" + lines[5], lines[7], None, "", "other words here\n" + lines[5]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    sets = {frozenset(x.split()) for t in texts if t for x in t.split("\n")}
+    links = {s: sum(s != t and 100 * len(s & t) >= 80 * len(s | t) for t in sets) for s in sets}
+    assert sum(links.values()) == 120 * 119
+    got = {r.doc_id: r for r in line_dedup.op7_line_dedup(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].n_links == sum(links[frozenset(x.split())] for x in (t or "").split("\n") if x)
+        assert got[i].class_id == (texts.index(t) if t else i)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><a href=/>Home</a></header>
 <nav><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></nav><div class="cookie-notice">We use cookies.</div>
 <article><h1>A &amp; B</h1><p>First  paragraph,<br>of <b>some</b> length.<p>Second&nbsp;one.<div class="ad">Buy now.</div><p>Third.</article>
