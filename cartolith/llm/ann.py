@@ -9,9 +9,10 @@ assigned by coordinate descent on that loss, centroids solve its normal equation
 The index holds every vector: blocks of up to BLOCK rows with ids, four-bit codes (two in a byte) and the
 original vectors. A search takes a block of codes and a block of queries: for each query a table of 256
 sums for each byte, one addition a byte and vector, then the RERANK best of the block by that score are
-scored again exactly, in double precision on the original vectors, and the best k of the block remain. The
-best k over all blocks are the answer. As many rows of every block are reranked whatever the size of the
-table, so that the recall does not fall with it.
+scored exactly, in double precision on the original vectors. The k-th of these scores is a floor: every row
+whose quantised score can, by its own quantisation error, belong to an exact score of the floor or more is
+scored exactly too, however many there are, and the best k of the block remain. The best k over all blocks
+are the answer. So groups of near or exact copies, whose codes tie, hide no neighbour.
 
 Scale: every block of vectors is dealt to each block of queries by a join on the latter's number;
 a task holds one block of each at a time. Nothing is broadcast but the centroids, whose size is fixed.
@@ -33,6 +34,7 @@ from . import _common as C
 
 SAMPLE, BLOCK, QUERIES, RERANK = 8192, 16_384, 2048, 96
 CENTROIDS, WIDTH, ROUNDS, THRESHOLD = 16, 2, 4, 0.2
+SLACK = 1e-5  # above the rounding of single-precision tables and sums
 
 
 def usable(vector):
@@ -166,20 +168,43 @@ def best_rows(score: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([above, np.flatnonzero(score == bound)[: n - len(above)]])
 
 
+def code_errors(x: np.ndarray, codes: np.ndarray, quantiser: Quantiser) -> tuple[np.ndarray, np.ndarray]:
+    """For vectors of length one and their packed codes: the reconstruction's part along the vector, and the length of the rest.
+
+    With these, along and across, a query of length one whose exact score is s or more has a quantised score of at least
+    along * s - across * sqrt(1 - s * s), as long as the two angles together stay below half a turn.
+    """
+    parts = np.stack([codes >> 4, codes & 15], axis=2).reshape(len(codes), -1)
+    near = quantiser.centroids[np.arange(parts.shape[1]), parts].reshape(len(codes), -1)
+    x = np.pad(x, ((0, 0), (0, near.shape[1] - x.shape[1])))
+    along = (near * x).sum(axis=1)
+    return along, np.sqrt(((near - along[:, None] * x) ** 2).sum(axis=1))
+
+
 def search_block(ids, x, codes, query_ids, q, quantiser: Quantiser, k: int, rerank: int):
     """The k best rows of a block for each query: (query, row id, exact cosine)."""
     out_q, out_i, out_s = [], [], []
     norm, q_norm = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
     columns = np.ascontiguousarray(codes.T)
+    along, across = code_errors(x / norm[:, None], codes, quantiser)
     for begin in range(0, len(q), 256):
         tables = quantiser.tables(q[begin : begin + 256] / q_norm[begin : begin + 256, None])
         for j, table in enumerate(tables, begin):
             score = table[0][columns[0]]
             for b in range(1, len(columns)):
                 score += table[b][columns[b]]
+            exactly = lambda rows: (x[rows] * q[j]).sum(axis=1) / (norm[rows] * q_norm[j])  # noqa: B023, E731
             rows = best_rows(score, rerank + 1)
             rows = rows[ids[rows] != query_ids[j]]
-            exact = (x[rows] * q[j]).sum(axis=1) / (norm[rows] * q_norm[j])
+            exact = exactly(rows)
+            if len(rows) + 1 < len(ids):
+                floor = np.partition(exact, len(exact) - k)[len(exact) - k] - SLACK if len(exact) >= k else -1.0
+                sine = np.sqrt(max(0.0, 1 - floor * floor))
+                can = (score >= along * floor - across * sine - SLACK) | (along * sine + across * floor < 0)
+                rows = np.flatnonzero(can & (ids != query_ids[j]))
+                if len(rows) > len(ids) // 8:  # one product finds those worth the exact sum
+                    rows = rows[(x @ q[j])[rows] >= (floor - SLACK) * norm[rows] * q_norm[j]]
+                exact = exactly(rows)
             rows, exact = rows[top := np.lexsort((ids[rows], -exact))[:k]], exact[top]
             out_q.append(np.full(len(rows), query_ids[j]))
             out_i.append(ids[rows])

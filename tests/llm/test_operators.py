@@ -402,6 +402,22 @@ def test_ann(spark):
     assert ann.nearest(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_ann_among_near_and_exact_copies(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 16))
+    x[1000:3000] = x[1000] + rng.normal(size=(2000, 16)) * 1e-3  # a third near copies
+    x[3000:3300] = x[3000]  # exact copies
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = defaultdict(set)
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    for q in range(0, 6000, 50):
+        s = (unit * unit[q]).sum(axis=1).round(12)
+        s[q] = -9
+        assert got[q] == set(np.lexsort((np.arange(6000), -s))[:5].tolist())
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rows = [(i, t, ["en", None][i % 2], f"src{i % 3}", len(t or "")) for i, t in corpus()]
