@@ -29,6 +29,14 @@ from .automaton import Automaton
 KEY = "(?:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?"
 VALUE = "[A-Za-z0-9+/_.=-]"
 
+#: A private key runs to its END line, over whatever stands between two lines of dashes in the characters of base64, headers,
+#: white space and quoting. Without an END line it runs over headers and long runs of base64, and the short run after those.
+PEM = "-----BEGIN[A-Z ]*PRIVATE KEY-----"
+PEM_SPACE = "(?:[\\x20\\t\\r\\n]|\\\\[nr])*"
+PEM_END = "(?:-{0,4}[A-Za-z0-9+/=_:,.;()@\\\\\"'\\x20\\t\\r\\n>#*|])*-----END[A-Z ]*PRIVATE KEY-----"
+PEM_OPEN = f"(?:{PEM_SPACE}[A-Z][A-Za-z]*-[A-Z][A-Za-z]*:[A-Za-z0-9,\\x20:+/=.()_-]*)*(?:{PEM_SPACE}[A-Za-z0-9+/=]{{16,}})+(?:{PEM_SPACE}[A-Za-z0-9+/=]+)?"
+PEM_WHOLE = f"{PEM}(?:{PEM_END}|{PEM_OPEN})?"
+
 #: kind, what a match begins with (enough to be worth a closer look), pattern of a match however short, pattern with the
 #: least length, whether letters fold, the characters that can begin a match. The first patterns make the combined
 #: automaton: of two counters for growing runs it would hold every pair of counts, so only hex counts there.
@@ -36,7 +44,7 @@ RULES = [
     ("assign", KEY + VALUE, KEY + VALUE + "+", KEY + VALUE + "{6,}", True, b"psta"),
     ("access", "AKIA[A-Z0-9]", "AKIA[A-Z0-9]+", "AKIA[A-Z0-9]{16,}", False, b"A"),
     ("hex", "[0-9a-f]{24}", "[0-9a-f]+", "[0-9a-f]{24,}", False, b"0123456789abcdef"),
-    ("pem", "-----BEGIN[A-Z ]*PRIVATE KEY-----", "-----BEGIN[A-Z ]*PRIVATE KEY-----", "-----BEGIN[A-Z ]*PRIVATE KEY-----", False, b"-"),
+    ("pem", PEM, PEM_WHOLE, PEM_WHOLE, False, b"-"),
     ("github", "gh[opsur]_[A-Za-z0-9]", "gh[opsur]_[A-Za-z0-9]+", "gh[opsur]_[A-Za-z0-9]{30,}", False, b"g"),
     ("slack", "xox[abprs]-[A-Za-z0-9-]", "xox[abprs]-[A-Za-z0-9-]+", "xox[abprs]-[A-Za-z0-9-]{10,}", False, b"x"),
     ("jwt", "eyJ[A-Za-z0-9_-]+\\.eyJ", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", False, b"e"),

@@ -243,6 +243,23 @@ def test_secret_scan(spark, docs):
     assert secret_scan.scan(empty(docs)).count() == 0 and secret_scan.scan(docs).count() == len(corpus())
 
 
+def test_private_keys_are_redacted_whole():
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    body = ["".join(rng.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(64)) for _ in range(5)] + ["abcDEF12=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    headers = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF", ""]
+    cases = [(f"é {a}{gap.join(['', *more, *body, ''])}{z}", rest) for gap in ("\n", "\r\n", "\\n", " ") for more in ([], headers) for a, z, rest in [(begin, end, "\nHello - world"), (begin, "", "\n")] if gap == "\n" or z]
+    for key, rest in cases:
+        text = key.rstrip("\n") + rest
+        assert secret_scan.masked(text, secret_scan.scan_column(pa.array([text]))[0]) == "é [SECRET]" + rest
+    two = "\n".join([begin, *body, end, "some prose", begin, *body, end, "-----BEGIN CERTIFICATE-----"])
+    assert secret_scan.masked(two, secret_scan.scan_column(pa.array([two]))[0]) == "[SECRET]\nsome prose\n[SECRET]\n-----BEGIN CERTIFICATE-----"
+    prose = f"A line {begin} begins a key."
+    assert secret_scan.masked(prose, secret_scan.scan_column(pa.array([prose]))[0]) == "A line [SECRET] begins a key."
+
+
 def test_automaton():
     rules = [("ab(c|d)*e?", False), ("[x-z]{2,3}q+", True), ("a.c", False)]
     search = Automaton(rules, search=True)
