@@ -3,7 +3,8 @@
 A page is read once into blocks: runs of text between the borders of block elements, each with its open
 elements. A logistic classifier over features of the text (length, share of linked text, sentence ends,
 paragraph element) gives each block a log-odds for content; open elements that say what they are (article,
-main; nav, footer, aside, form, names such as "sidebar" or "cookie") add evidence of fixed weight. The
+main; nav, footer, aside, form, names such as "sidebar" or "cookie") add evidence of fixed weight; body, html and elements that hold every article and
+main element of the page say nothing against content, unless hidden. The
 costs become terminal capacities of a graph whose smoothness edges join neighbouring blocks (stronger
 under one parent) and blocks next to each other within one container. The maximum flow's cut leaves the
 content on the source's side.
@@ -67,9 +68,11 @@ class Block:
         self.parent, self.container, self.inside, self.outside = parent, container, inside, outside
 
 
-def _evidence(tag: str, attributes: str, open_article: bool) -> tuple[float, bool]:
-    """Evidence of one element; and whether it says that it is no content."""
+def _evidence(tag: str, attributes: str, open_article: bool, holder: bool = False) -> tuple[float, bool]:
+    """Evidence of one element; and whether it says that it is no content. Of a holder of all articles only what speaks for content counts, and hiding."""
     got = TAGS.get(tag, 0)
+    if holder:
+        got = max(got, 0)
     if tag == "header" and open_article:
         got = 0  # an article's own header holds its title
     if attributes:
@@ -77,7 +80,7 @@ def _evidence(tag: str, attributes: str, open_article: bool) -> tuple[float, boo
         for m in _names.finditer(attributes):
             words.update(x.lower() for x in _part.findall(m[1] or m[2] or m[3] or ""))
         if words:
-            named = [NAMES[w] for w in words if w in NAMES]
+            named = [NAMES[w] for w in words if w in NAMES and not (holder and NAMES[w] < 0)]
             if named:
                 got += min(named) if min(named) < 0 else max(named)
         if _hidden.search(attributes):
@@ -86,7 +89,18 @@ def _evidence(tag: str, attributes: str, open_article: bool) -> tuple[float, boo
 
 
 def blocks_of(page: str) -> list[Block]:
+    blocks, holders = _blocks(page, frozenset())
+    return _blocks(page, holders)[0] if holders else blocks
+
+
+def _blocks(page: str, holders: frozenset) -> tuple[list[Block], frozenset]:
+    """Blocks, and which elements (by number) hold every article and main element, if one of them speaks against content.
+
+    holders: those elements, known from a first pass.
+    """
     out: list[Block] = []
+    around: set | None = None
+    against_all: set = set()
     stack: list[list] = [["", 0.0, 0, False, 0, False]]  # tag, evidence with that of the elements around, its number, article open, container, no content
     number, links, buffer, linked = 0, 0, [], 0
 
@@ -138,14 +152,19 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID:
             continue
         top = stack[-1]
-        got, against = _evidence(tag, attributes, top[3])
         number += 1
+        got, against = _evidence(tag, attributes, top[3], tag in ("body", "html") or number in holders)
+        if against:
+            against_all.add(number)
         if tag == "a":
             links += 1
         outside = top[5] or against
         stack.append([tag, min(top[1] + got, LEAST / 2) if outside else top[1] + got, number, (top[3] or tag in ("article", "main")), top[2], outside])
+        if tag in ("article", "main"):
+            here = {x[2] for x in stack}
+            around = here if around is None else around & here
     flush()
-    return out
+    return out, frozenset(around or ()) if around and around & against_all else frozenset()
 
 
 def _close(stack: list[list], tags: tuple, within: tuple) -> None:

@@ -350,6 +350,18 @@ def test_html_text(spark):
     assert html_text.fit(pages.where("false")) == html_text.PLAIN
 
 
+def test_names_around_the_article():
+    text = "First paragraph of the article, of some length, with a second sentence. It ends here."
+    page = '<html><body class="{}"><div id="page" class="{}"><nav><a href=a>One</a></nav><main class="{}"><article><p>{}</p></article></main><div class="sidebar"><p>Nothing of this, please, it is not text.</p></div></div></body></html>'
+    for names in (("single right-sidebar", "", ""), ("", "menu-open", ""), ("", "", "has-sidebar"), ("", "", "")):
+        assert html_text.extract(page.format(*names, text)) == text
+        assert [b.inside and not b.outside for b in html_text.blocks_of(page.format(*names, text))] == [False, True, False]
+    assert html_text.extract(f'<form class="ad"><main><p>{text}</p></main></form><div class="related"><p>More to read, here.</p></div>') == text
+    two = f'<main><article><p>{text}</p></article></main><div class="related"><article><p>Another one, quite short.</p></article></div>'
+    assert html_text.extract(two) == text
+    assert html_text.extract(f"<div hidden><article><p>{text}</p></article></div>") == ""
+
+
 def test_min_cut():
     rng = random.Random(2)
     for _ in range(60):
