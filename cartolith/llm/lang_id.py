@@ -6,8 +6,9 @@ lexicon), all hashed into one table; its transition weights are learned with the
 each word's probabilities, in chains of up to CHAIN words; the text's language has the largest sum of
 them, weighted by the letters of the words, and the score is its share.
 
-Training reads at most SAMPLE labelled texts, those with the smallest hash of their id, and CUT words from
-evenly spaced places of each. Besides plain chains it sees chains that change language, put together from
+Training reads at most SAMPLE labelled texts, those with the smallest hash of their id, and besides up to RARE
+texts of each language, one for each remainder of the hash, so that no labelled language is missing however
+large the table; and CUT words from evenly spaced places of each. Besides plain chains it sees chains that change language, put together from
 two texts, so that the transitions describe code-switched text. Words are runs of letters, in lower case.
 
 Edge cases: null, empty and letterless texts are `und` with score 0. Rows with a null text or language
@@ -21,6 +22,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 SAMPLE, CUT = 3000, 96  # training texts at most, words of each
+RARE = 64  # training texts besides for each language that has fewer in the sample
 BITS = 17  # of the table of features
 CHAIN = 64
 EPOCHS, RATE, DECAY = 4, 0.35, 1e-6
@@ -254,12 +257,20 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """A model from at most `sample` rows of labelled, chosen by a hash of the id (a top-k, no sort of all)."""
+    """A model from at most `sample` rows of labelled, chosen by a hash of the id (a top-k, no sort of all), and up to RARE of each language with fewer of them."""
     rows = labelled.where(labelled[text_col].isNotNull() & labelled[lang_col].isNotNull()).select(
         labelled[text_col].alias("text"), labelled[lang_col].alias("lang"), F.xxhash64(labelled[id_col].cast("string")).alias("h")
     )
-    rows = sorted(C.smallest(rows, "h", sample), key=lambda r: (r["h"], r["text"]))[:sample]
-    return train([r["text"] for r in rows], [r["lang"] for r in rows])
+    found = sorted(C.smallest(rows, "h", sample), key=lambda r: (r["h"], r["text"]))[:sample]
+    if len(found) == sample:
+        seen = Counter(r["lang"] for r in found)
+        least = rows.groupBy("lang", F.pmod("h", F.lit(RARE)).alias("slot")).agg(F.min("h").alias("h")).collect()
+        known = {(r["lang"], r["h"]) for r in found}
+        more = [(r["lang"], r["h"]) for r in least if seen[r["lang"]] < RARE and (r["lang"], r["h"]) not in known]
+        if more:
+            wanted = F.broadcast(labelled.sparkSession.createDataFrame(more, "lang string, h long"))
+            found += sorted(rows.join(wanted, ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text")).collect(), key=lambda r: (r["h"], r["text"]))
+    return train([r["text"] for r in found], [r["lang"] for r in found])
 
 
 def held_out(doc_id):

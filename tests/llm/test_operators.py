@@ -390,6 +390,17 @@ def test_lang_id(spark):
     assert kept.columns == df.columns and kept.where("doc_id = 900").count() == 0 and kept.where("doc_id < 180").count() == 180
 
 
+def test_rare_languages_are_learned(spark):
+    words = {"en": "the house and the river with this water", "de": "der fluss und das haus mit nicht auch", "fi": "talo ja joki tämä vesi oli myös kanssa"}
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(words[l].split(), k=20)), l) for i, l in enumerate(["en", "de"] * 300 + ["fi"] * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.fit(df, sample=40)
+    assert model.languages == ["de", "en", "fi"]
+    got = {r.doc_id: r.lang_pred for r in lang_id.label(df, model).collect()}
+    assert [got[i] for i in (600, 601, 602)] == ["fi"] * 3
+
+
 def test_forward_backward_against_all_paths():
     import itertools
 
