@@ -40,7 +40,15 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/cartolith/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that materialise() wrote and nothing reads any more."""
+    for df in tables:
+        _remove(df.sparkSession, df._written_to)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -57,13 +65,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def smallest(df: DataFrame, key: str, n: int) -> list:
-    """The n rows of df with the smallest keys (more if keys tie with the last one), at the driver.
+    """The n rows of df with the smallest keys, at the driver: no more, however many keys tie.
 
-    The keys are ranked first, by themselves, so that no task sends more than n numbers; then only the rows
-    wanted are read.
+    The key is a hash of all that tells rows apart, so that rows of one key are alike. The keys are ranked first,
+    by themselves, so that no task sends more than n numbers; then only the rows wanted are read.
     """
-    keys = df.select(key).orderBy(key).limit(n).collect()
-    return df.where(F.col(key) <= keys[-1][0]).collect() if keys else []
+    keys = [r[0] for r in df.select(key).orderBy(key).limit(n).collect()]
+    if not keys:
+        return []
+    last = keys[-1]
+    return df.where(F.col(key) < last).collect() + df.where(F.col(key) == last).limit(keys.count(last)).collect()
+
+
+def fresh(name: str, columns) -> str:
+    """A column name that is not in columns (names differ in more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def shards_for(rows: int, per_shard: int) -> int:

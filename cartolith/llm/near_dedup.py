@@ -6,7 +6,7 @@ of different permutations) propose candidates: with the defaults a pair of simil
 with a probability below 1e-6, one of 0.8 below 1.2e-4; near_duplicates() takes a similarity and picks the
 number of bands for a probability below MISS at that similarity.
 
-1. Texts with the same set are one class, represented by the smallest id. Only classes go on.
+1. Texts with the same set are one class, known by a number of its own. Only classes go on, with one of their texts.
 2. In each bucket of a band, every class is compared with the bucket's first class, on full sets (star).
 3. Components of the links so far. In buckets that hold several components, pairs of classes of different
    components are left. In buckets of up to SMALL classes those pairs are compared that the metric does not rule
@@ -23,8 +23,11 @@ join on the pair, so that a hot class spreads over tasks.
 
 Sets are compared as sorted 64-bit hashes of the shingles. Edge cases: texts without words (null and empty
 ones) have an empty set and are linked with nothing; texts with fewer words than a shingle have one shingle.
-Texts are read whole. Rows that repeat an id count as one document and are all returned. Other input columns
-are ignored by annotate() and kept by representatives(). An empty table gives an empty result.
+Texts are read whole. Every row is a document of its own, whatever its id: rows that repeat an id with different
+texts are compared each with its own text, and rows without an id link others as any row does. A component's id
+is the smallest id in it, null if none of its rows has one. annotate() marks as kept every row with that id;
+representatives() leaves one row of each component. Other input columns, whatever their names, are ignored by
+annotate() and kept by representatives(). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -113,7 +116,7 @@ def _sets(size: int, bands: int, rows: int):
                 n.append(len(s))
                 key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 band.append(signature_bands(s, a, b, rows).astype(np.int64) if len(s) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64()))], ["doc_id", "n", "set_key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64()))], ["doc_id", "h", "n", "set_key", "bands"])
 
     return run
 
@@ -171,21 +174,23 @@ def compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(_compare(size), "u long, v long, common long, united long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = ROWS, miss: float = MISS) -> DataFrame:
-    """docs: doc_id, text. Returns doc_id, n_shingles, component_id; linked are texts with 100 * common >= percent * united."""
+def _classed(docs: DataFrame, size: int, percent: int, rows: int, miss: float) -> tuple[DataFrame, DataFrame]:
+    """docs: doc_id, text. Two tables: the rows (doc_id, h: a hash of the text, n, set_key) and the classes of rows with
+    words (set_key, least: the smallest (no id, id, h) of the class, component)."""
     C.prepare(docs.sparkSession)
     bands = bands_for(percent / 100, rows, miss)
-    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    sets = C.materialise(docs.mapInArrow(_sets(size, bands, rows), "doc_id long, n long, set_key binary, bands array<long>"), "sets")
-    classes = sets.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.first("bands").alias("bands"))
-    classes = C.materialise(classes, "classes")
+    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).withColumn("h", F.xxhash64("text"))
+    sets = C.materialise(docs.select("doc_id", "text", "h").mapInArrow(_sets(size, bands, rows), "doc_id long, h long, n long, set_key binary, bands array<long>"), "sets")
+    least = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("h"))
+    classes = sets.where("n > 0").groupBy("set_key").agg(F.min(least).alias("least"), F.max("n").alias("n"), F.first("bands").alias("bands"))
+    classes = C.materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     buckets = classes.select("node", F.explode("bands").alias("band"))
     shared = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("first")).where("members > 1").select("band", "first")
     members = C.materialise(buckets.join(shared, "band").select("band", "first", "node"), "members")
     star = members.where("node > first").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct()
-    nodes = members.select("node").distinct()
-    texts = docs.join(nodes, docs.doc_id == nodes.node, "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.max("text").alias("text"))
+    nodes = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("least.doc_id").alias("id"), F.col("least.h").alias("hash"))
+    texts = docs.join(nodes, docs["doc_id"].eqNullSafe(nodes["id"]) & (docs["h"] == nodes["hash"])).groupBy("node").agg(F.first("text").alias("text"))
     texts = C.materialise(texts, "texts")
     known = C.materialise(compared(star, texts, size), "compared")
     links = known.where(f"100 * common >= {percent} * united").select("u", "v")
@@ -209,8 +214,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     more = C.materialise(small.union(large), "more")
     if more.take(1):
         label = components(links.union(more))
-    of_class = classes.join(label, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
-    return sets.join(of_class, "set_key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    of_class = classes.join(label, "node", "left").select("set_key", "least", F.coalesce("component", "node").alias("component"))
+    C.release(members, texts, known, at, rest)
+    return sets.select("doc_id", "h", "n", "set_key"), C.materialise(of_class, "labelled")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = ROWS, miss: float = MISS) -> DataFrame:
+    """docs: doc_id, text. Returns doc_id, n_shingles, component_id; linked are texts with 100 * common >= percent * united."""
+    sets, classes = _classed(docs, size, percent, rows, miss)
+    top = classes.groupBy("component").agg(F.min("least.doc_id").alias("top"))
+    of_class = classes.join(top, "component").select("set_key", "top")
+    alone = F.when(F.col("set_key").isNull(), F.col("doc_id"))  # rows without words
+    return sets.join(of_class, "set_key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("top", alone).alias("component_id"))
 
 
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -219,10 +234,18 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay: one document of each component, with all columns."""
-    keep = annotate(docs, size=size, percent=percent).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__keep"]), "left_semi")
+def representatives(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, with all columns: one row of each component (its smallest id), and every row without words."""
+    sets, classes = _classed(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), size, percent, ROWS, MISS)
+    least = classes.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("id"), F.col("least.h").alias("hash"))
+    keep = C.materialise(least.join(sets.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("times")), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("h"))).select("id", "hash", "times"), "keep")
+    mark = C.fresh("hash_of_text", [*docs.columns, "id", "hash"])
+    rows, wordless = docs.withColumn(mark, F.xxhash64(docs[text_col])), ~F.coalesce(docs[text_col], F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    id_of = lambda df: df[id_col].cast("long")
+    kept = rows.join(keep, id_of(rows).eqNullSafe(keep["id"]) & (rows[mark] == keep["hash"]), "left_semi")
+    if keep.where("times > 1").take(1):  # rows repeat an id and a text
+        kept = kept.dropDuplicates([id_col, mark])
+    return kept.select(*[kept[c] for c in docs.columns]).union(docs.where(wordless))
 
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
