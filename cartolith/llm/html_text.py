@@ -3,21 +3,25 @@
 A page is read once into blocks: runs of text between the borders of block elements, each with its open
 elements. A logistic classifier over features of the text (length, share of linked text, sentence ends,
 paragraph element) gives each block a log-odds for content; open elements that say what they are (article,
-main; nav, footer, aside, form, names such as "sidebar" or "cookie") add evidence of fixed weight; body, html and elements that hold every article and
-main element of the page say nothing against content, unless hidden. The
-costs become terminal capacities of a graph whose smoothness edges join neighbouring blocks (stronger
-under one parent) and blocks next to each other within one container. The maximum flow's cut leaves the
-content on the source's side.
-
-The classifier is trained here, on at most SAMPLE pages, chosen by a hash of their address, whose blocks
+main; nav, footer, aside, form, names such as "sidebar" or "cookie") add evidence of fixed weight. Inside an
+article or main element only names of what is never part of an article count (adverts, menus, sidebars, notices,
+forms, comments, footers), so that a paragraph of class "more" or "tags" stays; names such as "related" or "share"
+count outside only. body, html and elements that hold every article and main element of the page say nothing
+against content, unless hidden. The costs become terminal capacities of a graph whose smoothness edges join
+neighbouring blocks (stronger under one parent) and blocks next to each other within one container. The maximum
+flow's cut leaves the content on the source's side.
+
+The classifier is trained here, on at most SAMPLE pages, chosen by a hash of their address and source, whose blocks
 inside and outside an article or main element serve as labels. Without such pages the evidence decides.
 
 Text: character references decoded, white space inside a block one space, trimmed, blocks in page order
-joined by line feeds. Text in scripts, styles, templates, comments and the head is never a block.
+joined by two line feeds. Text in scripts, styles, templates, comments and the head is never a block.
 
-Edge cases: null, empty and text-free pages give an empty text. Broken markup (elements not closed, stray
-tags, an unclosed comment or script, which runs to the end) is read as far as it goes. Pages are read
-whole. Equal pages get equal texts; other input columns are ignored. An empty table gives an empty result.
+Edge cases: null, empty and text-free pages give an empty text. Broken markup is read as far as it goes, in time
+proportional to the page: elements not closed, stray tags; an unclosed comment or script runs to the end, and so
+does a tag without its ">"; a quote that is not closed where an attribute can end does not hide the ">" after it.
+Pages are read whole. Equal pages get equal texts, repeated rows each their own; other input columns are ignored.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +40,10 @@ from . import _common as C
 
 SAMPLE = 1500
 
-_token = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|title|iframe|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<([/!?]?)([a-zA-Z][a-zA-Z0-9:-]*)?((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S | re.I)
+_tag_name = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_to_quote = re.compile(r"[^>\"'=]*+(?:=\s*+)?+")
+#: Elements left out with their text.
+SKIPPED = {x: re.compile(rf"</{x}\s*+>", re.I) for x in "script style template noscript svg title iframe textarea select".split()}
 _names = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _hidden = re.compile(r"""\bhidden\b(?!\s*-)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _part = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -47,15 +54,17 @@ CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "thead", "tfoot", "tr"}
 
 #: Evidence of open elements, as log-odds for content.
 TAGS = {"nav": -9, "footer": -9, "aside": -9, "form": -9, "menu": -7, "button": -9, "dialog": -9, "header": -7, "label": -5, "article": 6, "main": 5}
+#: Names of what no article holds as its own text.
 NAMES = {
     **dict.fromkeys("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion".split(), -9),
-    **dict.fromkeys("nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toc skip".split(), -9),
-    **dict.fromkeys("sidebar side aside rail widget widgets related recommended recommendations more trending popular tags".split(), -9),
-    **dict.fromkeys("cookie cookies consent gdpr notice notices alert popup modal overlay subscribe newsletter signup paywall".split(), -9),
-    **dict.fromkeys("comment comments commentlist discussion reply replies disqus respond".split(), -9),
-    **dict.fromkeys("share sharing social footer foot copyright legal header masthead login search toolbar byline".split(), -9),
+    **dict.fromkeys("nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager".split(), -9),
+    **dict.fromkeys("sidebar aside footer masthead".split(), -9),
+    **dict.fromkeys("cookie cookies consent gdpr notice notices popup modal overlay subscribe newsletter signup paywall".split(), -9),
+    **dict.fromkeys("comment comments commentlist disqus respond".split(), -9),
     **dict.fromkeys("content article story post entry body main text".split(), 3),
 }
+#: Names that speak against content outside article and main elements only.
+OUTSIDE = dict.fromkeys("alert side rail widget widgets related recommended recommendations more trending popular tags toc skip share sharing social foot copyright legal header login search toolbar byline discussion reply replies".split(), -9)
 LEAST, MOST = -12.0, 12.0
 NEIGHBOURS, SIBLINGS, CONTAINER = 0.6, 1.0, 0.4  # capacities of smoothness edges
 
@@ -80,7 +89,8 @@ def _evidence(tag: str, attributes: str, open_article: bool, holder: bool = Fals
         for m in _names.finditer(attributes):
             words.update(x.lower() for x in _part.findall(m[1] or m[2] or m[3] or ""))
         if words:
-            named = [NAMES[w] for w in words if w in NAMES and not (holder and NAMES[w] < 0)]
+            weights = [NAMES.get(w, 0 if open_article else OUTSIDE.get(w, 0)) for w in words]
+            named = [w for w in weights if w and not (holder and w < 0)]
             if named:
                 got += min(named) if min(named) < 0 else max(named)
         if _hidden.search(attributes):
@@ -88,6 +98,115 @@ def _evidence(tag: str, attributes: str, open_article: bool, holder: bool = Fals
     return got, got < 0
 
 
+class _Reader:
+    """Pieces of a page in order: ("text", raw), ("open", tag, attributes), ("close", tag), ("skip",). Every character is looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.none_after = {}  # what does not occur from a place on, to the end
+
+    def _find(self, what: str, at: int) -> int:
+        if at >= self.none_after.get(what, len(self.page) + 1):
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.none_after[what] = at
+        return found
+
+    def _tag_end(self, at: int) -> int:
+        """The place of the ">" that ends a tag whose attributes begin at a place; -1: none."""
+        page = self.page
+        while True:
+            i = _to_quote.match(page, at).end()
+            if i >= len(page):
+                return -1
+            c = page[i]
+            if c == ">":
+                return i
+            if c in "\"'" and page[at:i].rstrip()[-1:] == "=":
+                end = self._find(c, i + 1)
+                if end >= 0 and (end + 1 == len(page) or page[end + 1] in " \t\r\n\f/>"):
+                    i = end
+                else:  # not closed where an attribute can end
+                    return self._find(">", i)
+                at = i + 1
+                continue
+            at = i if c == "=" and i > at else i + 1
+
+    def __iter__(self):
+        page, at = self.page, 0
+        while at < len(page):
+            i = self._find("<", at)
+            if i < 0:
+                yield "text", page[at:]
+                return
+            if i > at:
+                yield "text", page[at:i]
+            c = page[i + 1 : i + 2]
+            if c == "!" or c == "?" or c == "/" and not page[i + 2 : i + 3].isalpha():
+                comment = page.startswith("<!--", i)
+                end = self._find("-->" if comment else ">", i + 2)
+                at = len(page) if end < 0 else end + (3 if comment else 1)
+                continue
+            m = _tag_name.match(page, i + 2 if c == "/" else i + 1)
+            if not m:
+                yield "text", "<"
+                at = i + 1
+                continue
+            end = self._find(">", m.end()) if c == "/" else self._tag_end(m.end())
+            if end < 0:
+                return
+            tag, at = m[0].lower(), end + 1
+            if c == "/":
+                yield "close", tag
+            elif tag in SKIPPED:
+                end = SKIPPED[tag].search(page, at)
+                at = end.end() if end else len(page)
+                yield ("skip",)
+            else:
+                yield "open", tag, page[m.end() : end]
+
+
+class _Stack:
+    """Open elements: tag, evidence with that of the elements around, number, article open, container, no content. Knows where each tag is open."""
+
+    def __init__(self):
+        self.items: list[tuple] = [("", 0.0, 0, False, 0, False)]
+        self.where: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.low = 0  # the least height since it was last set
+
+    def push(self, item: tuple) -> None:
+        self.where.setdefault(item[0], []).append(len(self.items))
+        if item[0] in BLOCK:
+            self.blocks.append(len(self.items))
+        self.items.append(item)
+
+    def cut(self, height: int) -> None:
+        for tag, *_ in self.items[height:]:
+            self.where[tag].pop()
+        while self.blocks and self.blocks[-1] >= height:
+            self.blocks.pop()
+        del self.items[height:]
+        self.low = min(self.low, height)
+
+    def last(self, tags) -> int:
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=0)
+
+    def close(self, tags: tuple, within: tuple) -> None:
+        """Close the innermost of tags, unless one of within is open inside it."""
+        i = self.last(tags)
+        if i > self.last(within):
+            self.cut(i)
+
+    def block(self) -> tuple:
+        return self.items[self.blocks[-1] if self.blocks else 0]
+
+
+AROUND_P = ("div", "section", "article", "main", "td", "th", "li", "blockquote", "aside", "footer", "header", "nav", "form")
+LISTS = ("ul", "ol", "menu", "dl", "table", "select")
+
+
 def blocks_of(page: str) -> list[Block]:
     blocks, holders = _blocks(page, frozenset())
     return _blocks(page, holders)[0] if holders else blocks
@@ -99,81 +218,68 @@ def _blocks(page: str, holders: frozenset) -> tuple[list[Block], frozenset]:
     holders: those elements, known from a first pass.
     """
     out: list[Block] = []
-    around: set | None = None
+    stack = _Stack()
+    chain, common = [], 0  # elements around the first article, and how many of them hold all articles so far
     against_all: set = set()
-    stack: list[list] = [["", 0.0, 0, False, 0, False]]  # tag, evidence with that of the elements around, its number, article open, container, no content
-    number, links, buffer, linked = 0, 0, [], 0
+    number, buffer, linked = 0, [], 0
 
     def flush():
         nonlocal linked
         if buffer:
             text = " ".join("".join(buffer).split())
             if text:
-                tag = next((x[0] for x in reversed(stack) if x[0] in BLOCK), "")
-                top = stack[-1]
-                holder = next((x for x in reversed(stack) if x[0] in BLOCK), stack[0])
-                out.append(Block(text, tag, min(linked, len(text)) / len(text), top[1], holder[4], holder[2], top[3], top[5]))
+                top, holder = stack.items[-1], stack.block()
+                out.append(Block(text, holder[0], min(linked, len(text)) / len(text), top[1], holder[4], holder[2], top[3], top[5]))
             buffer.clear()
             linked = 0
 
-    for m in _token.finditer(page):
-        raw = m[5]
-        if raw is not None:
+    for piece in _Reader(page):
+        kind = piece[0]
+        if kind == "text":
+            raw = piece[1]
             text = html.unescape(raw) if "&" in raw else raw
             buffer.append(text)
-            if links:
+            if stack.where.get("a"):
                 linked += len(text)
             continue
-        if m[3] is None or m[2] in ("!", "?"):  # a comment, a declaration or an element that is left out with its text
-            if m[1] is not None:
-                buffer.append(" ")
+        if kind == "skip":
+            buffer.append(" ")
             continue
-        kind, tag, attributes = m[2], m[3].lower(), m[4]
-        if tag == "br" or tag in ("td", "th"):
+        tag = piece[1]
+        if tag in ("br", "td", "th"):
             buffer.append(" ")
-        if kind == "/":
+        if kind == "close":
             if tag in BLOCK:
                 flush()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    links -= sum(x[0] == "a" for x in stack[i:])
-                    del stack[i:]
-                    break
-                if tag not in BLOCK and stack[i][0] in BLOCK:
-                    break  # an inline element does not close blocks
+            i = stack.last((tag,))
+            if i and (tag in BLOCK or not stack.blocks or i > stack.blocks[-1]):  # an inline element does not close blocks
+                stack.cut(i)
             continue
         if tag in BLOCK:
             flush()
             if tag in CLOSES_P:
-                _close(stack, ("p",), ("div", "section", "article", "main", "td", "th", "li", "blockquote", "aside", "footer", "header", "nav", "form"))
-                links = sum(x[0] == "a" for x in stack)
+                stack.close(("p",), AROUND_P)
             if tag in ("li", "dt", "dd", "option", "tr"):
-                _close(stack, (tag,) if tag in ("li", "option", "tr") else ("dt", "dd"), ("ul", "ol", "menu", "dl", "table", "select"))
+                stack.close((tag,) if tag in ("li", "option", "tr") else ("dt", "dd"), LISTS)
         if tag in VOID:
             continue
-        top = stack[-1]
+        top = stack.items[-1]
         number += 1
-        got, against = _evidence(tag, attributes, top[3], tag in ("body", "html") or number in holders)
+        got, against = _evidence(tag, piece[2], top[3] or tag in ("article", "main"), tag in ("body", "html") or number in holders)
         if against:
             against_all.add(number)
-        if tag == "a":
-            links += 1
         outside = top[5] or against
-        stack.append([tag, min(top[1] + got, LEAST / 2) if outside else top[1] + got, number, (top[3] or tag in ("article", "main")), top[2], outside])
+        stack.push((tag, min(top[1] + got, LEAST / 2) if outside else top[1] + got, number, (top[3] or tag in ("article", "main")), top[2], outside))
         if tag in ("article", "main"):
-            here = {x[2] for x in stack}
-            around = here if around is None else around & here
+            if not chain:
+                chain = [x[2] for x in stack.items]
+                common = len(chain)
+            else:
+                common = min(common, stack.low)
+            stack.low = len(stack.items)
     flush()
-    return out, frozenset(around or ()) if around and around & against_all else frozenset()
-
-
-def _close(stack: list[list], tags: tuple, within: tuple) -> None:
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i][0] in tags:
-            del stack[i:]
-            return
-        if stack[i][0] in within:
-            return
+    around = frozenset(chain[:common])
+    return out, around if around & against_all else frozenset()
 
 
 def features(b: Block) -> list[float]:
@@ -273,7 +379,7 @@ def extract(page: str | None, weights=PLAIN) -> str:
     blocks = blocks_of(page or "")
     if not blocks:
         return ""
-    return "\n".join(b.text for b, keep in zip(blocks, content(blocks, weights)) if keep)
+    return "\n\n".join(b.text for b, keep in zip(blocks, content(blocks, weights)) if keep)
 
 
 def train(pages: list[str], rounds: int = 200) -> list[float]:
@@ -299,9 +405,8 @@ def train(pages: list[str], rounds: int = 200) -> list[float]:
 
 
 def fit(pages: DataFrame, html_col: str = "html", url_col: str = "url", sample: int = SAMPLE) -> list[float]:
-    rows = pages.where(pages[html_col].isNotNull()).select(F.xxhash64(pages[url_col]).alias("h"), pages[html_col].alias("html"))
-    rows = sorted(C.smallest(rows, "h", sample), key=lambda r: (r["h"], r["html"]))[:sample]
-    return train([r["html"] for r in rows])
+    rows = pages.where(pages[html_col].isNotNull()).select(F.xxhash64(pages[url_col], pages[html_col]).alias("h"), pages[html_col].alias("html"))
+    return train([r["html"] for r in sorted(C.smallest(rows, "h", sample), key=lambda r: (r["h"], r["html"]))])
 
 
 def text_of(pages: DataFrame, weights, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
