@@ -2,19 +2,23 @@
 
 Every word gets a language: the field's unary weights belong to character n-grams of the word with its
 borders (so that prefixes and suffixes are features of their own) and to an entry for the whole word (the
-lexicon), all hashed into one table; its transition weights are learned with them. Forward-backward gives
-each word's probabilities, in chains of up to CHAIN words; the text's language has the largest sum of
-them, weighted by the letters of the words, and the score is its share.
+lexicon), all hashed into one table; its transition weights are learned with them. Forward-backward over the
+whole text gives each word's probabilities; the text's language has the largest sum of
+them, weighted by the letters of the words, and the score is its share. A long text goes through in runs of RUN
+words side by side: products of transitions over whole runs carry what lies before and after to their borders, so
+that the result is that of one chain.
 
-Training reads at most SAMPLE labelled texts, those with the smallest hash of their id, and besides up to RARE
+Training reads at most SAMPLE labelled texts, those with the smallest hash of their id and text, and besides up to RARE
 texts of each language, one for each remainder of the hash, so that no labelled language is missing however
-large the table; and CUT words from evenly spaced places of each. Besides plain chains it sees chains that change language, put together from
-two texts, so that the transitions describe code-switched text. Words are runs of letters, in lower case.
+large the table; all words of each. Besides plain chains it sees chains that change language, put together from
+two texts, so that the transitions describe code-switched text. Words are runs of letters (as str.isalpha has
+them), in lower case.
 
 Edge cases: null, empty and letterless texts are `und` with score 0. Rows with a null text or language
 take no part in training; with no training rows everything is `und`. With a single language everything
-with letters gets that. Equal texts get equal results, whatever their other columns. Ties go to the
-language that sorts first. Texts are read whole.
+with letters gets that. Equal texts get equal results, whatever their id or other columns. Ties go to the
+language that sorts first. Texts are read whole. A null id is not held out; other input columns are ignored by
+label() and kept by accepted(). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,19 +35,23 @@ from pyspark.sql import functions as F
 
 from . import _common as C
 
-SAMPLE, CUT = 3000, 96  # training texts at most, words of each
+SAMPLE = 2000  # training texts at most
 RARE = 64  # training texts besides for each language that has fewer in the sample
 BITS = 17  # of the table of features
-CHAIN = 64
-EPOCHS, RATE, DECAY = 4, 0.35, 1e-6
+RUN = 64  # words of a text that are worked through one after another
+EPOCHS, RATE, DECAY = 1, 0.35, 1e-6
 WORDS_KEPT = 300_000  # in a worker's table of words it has seen
 UNKNOWN = "und"
 
-_word = re.compile(r"[^\W\d_]+")
+_word = re.compile(r"[^\W\d_]+")  # letters, and numerals such as fractions, which words_of() takes out
 
 
 def words_of(text: str) -> list[str]:
-    return _word.findall(text.lower())
+    """Runs of letters (characters of which str.isalpha holds), in lower case."""
+    words = _word.findall(text.lower())
+    if words and not "".join(words).isalpha():
+        words = "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
+    return words
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -140,22 +148,29 @@ class Model:
         return lang, [float(min(1.0, s[b] / t)) if t > 0 else 0.0 for s, b, t in zip(score, best, total)]
 
     def _probabilities(self, unary: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Chains of up to CHAIN words that do not reach over texts."""
-        per = -(-n // CHAIN)
+        """Probabilities of all words of texts of n words each: one chain a text, worked through in runs side by side."""
+        per = -(-n // RUN)
         text = np.repeat(np.arange(len(n)), per)
         rank = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
-        begin = (np.cumsum(n) - n)[text] + rank * CHAIN
-        length = np.minimum(CHAIN, n[text] - rank * CHAIN)
-        out = np.zeros(unary.shape)
-        order = np.argsort(length, kind="stable")
+        begin = (np.cumsum(n) - n)[text] + rank * RUN
+        length = np.minimum(RUN, n[text] - rank * RUN)
+        k = len(self.moves)
+        before, after = np.ones((k, len(text))), np.ones((k, len(text)))
+        order = np.argsort(-length, kind="stable")
+        of_long = order[per[text[order]] > 1]
+        if len(of_long):
+            products = np.empty((k, k, len(text)))
+            for i in range(0, len(of_long), 2048):
+                take = of_long[i : i + 2048]
+                products[:, :, take] = _product(*_runs(unary, begin[take], length[take])[:2], self.moves, rank[take] == 0)
+            _borders(products, rank, per[text], before, after)
+        out = np.empty(unary.shape)
         for i in range(0, len(order), 2048):
             take = order[i : i + 2048]
-            at = begin[take, None] + np.arange(length[take].max())[None, :]
-            live = np.arange(at.shape[1])[None, :] < length[take, None]
-            e = unary[np.where(live, at, 0)].astype(np.float64)
-            e *= live[:, :, None]
-            p = _marginals(e, self.moves, live)
-            out[at[live]] = p[live]
+            e, alive, at = _runs(unary, begin[take], length[take])
+            p = _marginals(e, alive, self.moves, rank[take] == 0, before[:, take], after[:, take])
+            live = at >= 0
+            out[at[live]] = p.transpose(0, 2, 1)[live]
         return out
 
     def pack(self) -> dict:
@@ -168,27 +183,56 @@ class Model:
         return cls(x["languages"], table, np.array(x["moves"]).reshape(k, k))
 
 
-def _marginals(unary: np.ndarray, moves: np.ndarray, live: np.ndarray) -> np.ndarray:
-    e = np.exp(unary - unary.max(axis=2, keepdims=True))
-    a, places = np.exp(moves), e.shape[1]
-    alpha, beta = np.empty_like(e), np.ones_like(e)
-    alpha[:, 0] = e[:, 0]
-    for t in range(1, places):
-        x = (alpha[:, t - 1] @ a) * e[:, t]
-        alpha[:, t] = x / x.sum(axis=1, keepdims=True)
-    for t in range(places - 2, -1, -1):
-        x = (beta[:, t + 1] * e[:, t + 1]) @ a.T
-        beta[:, t] = np.where(live[:, t + 1, None], x / x.sum(axis=1, keepdims=True), 1.0)
-    p = alpha * beta
-    return p / p.sum(axis=2, keepdims=True)
-
-
-def _cut(words: list[str], n: int) -> list[str]:
-    """About n words in runs of 8 from evenly spaced places."""
-    if len(words) <= n:
-        return words
-    starts = np.linspace(0, len(words) - 8, n // 8).astype(int)
-    return [w for s in starts for w in words[s : s + 8]]
+def _runs(unary: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights of runs, the longest first (places x labels x runs, each place's largest 1); how many runs have a word at
+    each place; and where the words are (places x runs, -1 past the end)."""
+    places = np.arange(int(length[0]))[:, None]
+    at = np.where(places < length, begin + places, -1)
+    e = np.ascontiguousarray(unary[at].transpose(0, 2, 1), np.float64)
+    return np.exp(e - e.max(axis=1, keepdims=True)), (at >= 0).sum(axis=1), at
+
+
+def _product(e: np.ndarray, alive: np.ndarray, moves: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each run the product of its transitions and weights (labels x labels x runs), from the word before it to its
+    last word; for a text's first run, which no word comes before, all rows are alike."""
+    turned = np.exp(moves).T
+    m = np.where(first, 1.0, np.exp(moves)[:, :, None]) * e[0]
+    for t in range(1, len(e)):
+        r = alive[t]
+        x = np.matmul(turned, m[:, :, :r]) * e[t, :, :r]
+        m[:, :, :r] = x / x.max(axis=(0, 1)) if t % 4 == 0 else x
+    return m / m.max(axis=(0, 1))
+
+
+def _borders(products: np.ndarray, rank: np.ndarray, runs: np.ndarray, before: np.ndarray, after: np.ndarray) -> None:
+    """For all runs of texts, in order: the forward weights of the word before each, the backward weights of its last word."""
+    left = runs - 1 - rank
+    for r in range(1, int(rank.max()) + 1):
+        at = np.flatnonzero(rank == r)
+        x = np.einsum("in,ijn->jn", before[:, at - 1], products[:, :, at - 1])
+        before[:, at] = x / x.sum(axis=0)
+    for r in range(1, int(left.max()) + 1):
+        at = np.flatnonzero(left == r)
+        x = np.einsum("ijn,jn->in", products[:, :, at + 1], after[:, at + 1])
+        after[:, at] = x / x.sum(axis=0)
+
+
+def _marginals(e: np.ndarray, alive: np.ndarray, moves: np.ndarray, first: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Probabilities in runs, given what comes to them from before their first and after their last word."""
+    a = np.exp(moves)
+    alpha, beta = np.ones_like(e), np.empty_like(e)
+    alpha[0] = np.where(first, 1.0, a.T @ before) * e[0]
+    for t in range(1, len(e)):
+        r = alive[t]
+        x = (a.T @ alpha[t - 1, :, :r]) * e[t, :, :r]
+        alpha[t, :, :r] = x / x.sum(axis=0)
+    beta[:] = after
+    for t in range(len(e) - 2, -1, -1):
+        r = alive[t + 1]
+        x = a @ (beta[t + 1, :, :r] * e[t + 1, :, :r])
+        beta[t, :, :r] = x / x.sum(axis=0)
+    alpha *= beta
+    return alpha / alpha.sum(axis=1, keepdims=True)
 
 
 def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
@@ -200,7 +244,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     by: list[list[list[str]]] = [[] for _ in languages]
     for text, lang in zip(texts, langs):
-        words = _cut(words_of(text), CUT)
+        words = words_of(text)
         by[languages.index(lang)] += [words[i : i + 16] for i in range(0, len(words), 16)]
     most = max(map(len, by))
     chains, labels = [], []
@@ -259,9 +303,9 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """A model from at most `sample` rows of labelled, chosen by a hash of the id (a top-k, no sort of all), and up to RARE of each language with fewer of them."""
     rows = labelled.where(labelled[text_col].isNotNull() & labelled[lang_col].isNotNull()).select(
-        labelled[text_col].alias("text"), labelled[lang_col].alias("lang"), F.xxhash64(labelled[id_col].cast("string")).alias("h")
+        labelled[text_col].alias("text"), labelled[lang_col].alias("lang"), F.xxhash64(labelled[id_col].cast("string"), labelled[text_col], labelled[lang_col]).alias("h")
     )
-    found = sorted(C.smallest(rows, "h", sample), key=lambda r: (r["h"], r["text"]))[:sample]
+    found = sorted(C.smallest(rows, "h", sample), key=lambda r: (r["h"], r["text"]))
     if len(found) == sample:
         seen = Counter(r["lang"] for r in found)
         least = rows.groupBy("lang", F.pmod("h", F.lit(RARE)).alias("slot")).agg(F.min("h").alias("h")).collect()
@@ -274,7 +318,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def held_out(doc_id):
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    """Whether crc32 of the id as text leaves 2 when divided by 4 (a null id: no)."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 _models: dict[int, Model] = {}
