@@ -222,18 +222,29 @@ class Automaton:
         _, keep = np.unique(group, return_index=True)
         self.next, self.accept, self.start = group[self.next[keep]].astype(np.int32), self.accept[keep], int(group[self.start])
 
-    def longest(self, data: bytes, at: int, rule: int = 0) -> int:
-        """End of the longest match of an anchored automaton at that place; -1: none."""
-        table, cls, accept, state, end = self.lists(), self._cls_bytes, self._accept_list, self.start, -1
-        if accept[state] >> rule & 1:
-            end = at
-        for i in range(at, len(data)):
+    def longest(self, data: bytes, at: int, end: int | None = None) -> int:
+        """End of the longest match of an anchored automaton at that place, before end; -1: none."""
+        table, cls, accept, state, found = self.lists(), self._cls_bytes, self._accept_list, self.start, -1
+        if accept[state]:
+            found = at
+        for i in range(at, len(data) if end is None else end):
             state = table[state][cls[data[i]]]
-            if accept[state] >> rule & 1:
-                end = i + 1
+            if accept[state]:
+                found = i + 1
             elif state == self._dead:
                 break
-        return end
+        return found
+
+    def leftmost(self, data: bytes, end: int, low: int) -> int:
+        """Of an anchored automaton of turned rules: the first place from low on at which a match begins that ends there; -1: none."""
+        table, cls, accept, state, found = self.lists(), self._cls_bytes, self._accept_list, self.start, -1
+        for i in range(end - 1, low - 1, -1):
+            state = table[state][cls[data[i]]]
+            if accept[state]:
+                found = i
+            elif state == self._dead:
+                break
+        return found
 
     def lists(self):
         """The transition array as nested lists, which Python's own loop reads faster."""
@@ -244,48 +255,51 @@ class Automaton:
         return self._lists
 
     def masks(self, data: np.ndarray, offsets: np.ndarray, piece: int = 1024) -> np.ndarray:
-        """For each text data[offsets[i]:offsets[i+1]], the rules that accept somewhere in it, in one pass.
+        """For each text data[offsets[i]:offsets[i+1]], the rules that accept somewhere in it."""
+        out = np.zeros(len(offsets) - 1, np.int64)
+        ends, masks = self.hits(data, offsets, piece)
+        np.bitwise_or.at(out, np.searchsorted(offsets, ends, "left") - 1, masks)
+        return out
+
+    def hits(self, data: np.ndarray, offsets: np.ndarray, piece: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+        """Where rules accept (the place after the last byte, ascending) in texts data[offsets[i]:offsets[i+1]], and which, in one pass.
 
         Texts are cut at bytes that lead every state back to the start, into parts of about piece bytes
         (longer where there is no such byte), and all parts step through the array together.
         """
-        texts = len(offsets) - 1
-        out = np.zeros(texts, np.int64)
-        if texts == 0 or offsets[-1] == offsets[0]:
-            return out
-        begin, end, owner = self._parts(data, offsets, piece)
+        none = np.zeros(0, np.int64)
+        if len(offsets) < 2 or offsets[-1] == offsets[0]:
+            return none, none
+        begin, end = self._parts(data, offsets, piece)
         order = np.argsort(begin - end, kind="stable")
-        begin, end, owner = begin[order], end[order], owner[order]
+        begin, end = begin[order], end[order]
         width = self.next.shape[1]
         flat = np.ascontiguousarray(self.next * width).ravel().astype(np.int32)
         accepts = np.zeros(flat.size, np.int64)
         accepts[::width] = self.accept
         any_accept = accepts != 0
         state = np.full(len(begin), self.start * width, np.int32)
-        found = np.zeros(len(begin), np.int64)
         classes, lengths, at = self.cls[data], end - begin, begin.copy()
-        alive = len(begin)
+        alive, places, masks = len(begin), [none], [none]
         for t in range(int(lengths[0])):
             while lengths[alive - 1] <= t:
                 alive -= 1
             state[:alive] = flat[state[:alive] + classes[at[:alive]]]
+            at[:alive] += 1
             hit = any_accept[state[:alive]]
             if hit.any():
                 i = np.flatnonzero(hit)
-                found[i] |= accepts[state[i]]
-            at[:alive] += 1
-        np.bitwise_or.at(out, owner, found)
-        return out
+                places.append(at[i])
+                masks.append(accepts[state[i]])
+        places, masks = np.concatenate(places), np.concatenate(masks)
+        order = np.argsort(places, kind="stable")
+        return places[order], masks[order]
 
     def _parts(self, data, offsets, piece):
         begin, end = offsets[:-1].astype(np.int64), offsets[1:].astype(np.int64)
-        owner = np.arange(len(begin))
         long = (end - begin) > 2 * piece
-        if not long.any():
-            keep = end > begin
-            return begin[keep], end[keep], owner[keep]
-        cuts = np.flatnonzero(self.resets[data]) + 1
-        b, e, o = [begin[~long]], [end[~long]], [owner[~long]]
+        cuts = np.flatnonzero(self.resets[data]) + 1 if long.any() else None
+        b, e = [begin[~long]], [end[~long]]
         for i in np.flatnonzero(long):
             wanted = np.arange(begin[i] + piece, end[i], piece)
             at = np.searchsorted(cuts, wanted)
@@ -293,10 +307,8 @@ class Automaton:
             at = at[at < end[i]]
             b.append(np.concatenate([[begin[i]], at]))
             e.append(np.concatenate([at, [end[i]]]))
-            o.append(np.full(len(at) + 1, i))
-        b, e, o = np.concatenate(b), np.concatenate(e), np.concatenate(o)
-        keep = e > b
-        return b[keep], e[keep], o[keep]
+        b, e = np.concatenate(b), np.concatenate(e)
+        return b[e > b], e[e > b]
 
 
 def _turned(node):

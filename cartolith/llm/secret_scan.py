@@ -1,10 +1,11 @@
 """Secrets in texts, found by one deterministic automaton for all rules.
 
-The rules are compiled together by subset construction and minimisation into transition arrays
-(automaton.py). One pass over the bytes of a text steps through that array and tells which rules can have
-a match of sufficient length somewhere. Only for texts with a hit, the same rules, compiled one by one and
-anchored, give the spans: for each kind leftmost, longest and without overlap, and matches that are too
-short are dropped after they have used up their characters.
+A rule is a head and a tail. The heads are compiled together by subset construction and minimisation into
+transition arrays (automaton.py). One pass over the bytes of all texts steps through that array and gives
+every place where the head of a rule ends. From there nothing is scanned but the match itself: backwards over
+the head, by the array of the turned head, to the leftmost place where it can begin; forwards over the tail.
+So each kind's matches are leftmost, longest and without overlap; those that are too short are dropped after
+they have used up their characters. The work is proportional to the text, whatever it holds.
 
 Base kinds, in the order in which spans are listed: assign, access, hex. Further kinds: pem, github,
 slack, jwt, google, stripe. Spans are counted in code points, with an exclusive end.
@@ -37,19 +38,18 @@ PEM_END = "(?:-{0,4}[A-Za-z0-9+/=_:,.;()@\\\\\"'\\x20\\t\\r\\n>#*|])*-----END[A-
 PEM_OPEN = f"(?:{PEM_SPACE}[A-Z][A-Za-z]*-[A-Z][A-Za-z]*:[A-Za-z0-9,\\x20:+/=.()_-]*)*(?:{PEM_SPACE}[A-Za-z0-9+/=]{{16,}})+(?:{PEM_SPACE}[A-Za-z0-9+/=]+)?"
 PEM_WHOLE = f"{PEM}(?:{PEM_END}|{PEM_OPEN})?"
 
-#: kind, what a match begins with (enough to be worth a closer look), pattern of a match however short, pattern with the
-#: least length, whether letters fold, the characters that can begin a match. The first patterns make the combined
-#: automaton: of two counters for growing runs it would hold every pair of counts, so only hex counts there.
+#: kind, head (after which a match goes on in one way only, wherever it began), tail, pattern with the least length,
+#: whether letters fold. hex counts in its head, as no shorter run is a match; the others begin with rare characters.
 RULES = [
-    ("assign", KEY + VALUE, KEY + VALUE + "+", KEY + VALUE + "{6,}", True, b"psta"),
-    ("access", "AKIA[A-Z0-9]", "AKIA[A-Z0-9]+", "AKIA[A-Z0-9]{16,}", False, b"A"),
-    ("hex", "[0-9a-f]{24}", "[0-9a-f]+", "[0-9a-f]{24,}", False, b"0123456789abcdef"),
-    ("pem", PEM, PEM_WHOLE, PEM_WHOLE, False, b"-"),
-    ("github", "gh[opsur]_[A-Za-z0-9]", "gh[opsur]_[A-Za-z0-9]+", "gh[opsur]_[A-Za-z0-9]{30,}", False, b"g"),
-    ("slack", "xox[abprs]-[A-Za-z0-9-]", "xox[abprs]-[A-Za-z0-9-]+", "xox[abprs]-[A-Za-z0-9-]{10,}", False, b"x"),
-    ("jwt", "eyJ[A-Za-z0-9_-]+\\.eyJ", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", False, b"e"),
-    ("google", "AIza[A-Za-z0-9_-]", "AIza[A-Za-z0-9_-]+", "AIza[A-Za-z0-9_-]{35,}", False, b"A"),
-    ("stripe", "[rs]k_live_[A-Za-z0-9]", "[rs]k_live_[A-Za-z0-9]+", "[rs]k_live_[A-Za-z0-9]{16,}", False, b"rs"),
+    ("assign", KEY + VALUE, VALUE + "*", KEY + VALUE + "{6,}", True),
+    ("access", "AKIA[A-Z0-9]", "[A-Z0-9]*", "AKIA[A-Z0-9]{16,}", False),
+    ("hex", "[0-9a-f]{24}", "[0-9a-f]*", "[0-9a-f]{24,}", False),
+    ("pem", PEM, f"(?:{PEM_END}|{PEM_OPEN})?", PEM_WHOLE, False),
+    ("github", "gh[opsur]_[A-Za-z0-9]", "[A-Za-z0-9]*", "gh[opsur]_[A-Za-z0-9]{30,}", False),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]", "[A-Za-z0-9-]*", "xox[abprs]-[A-Za-z0-9-]{10,}", False),
+    ("jwt", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]", "[A-Za-z0-9_-]*\\.[A-Za-z0-9_-]+", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", False),
+    ("google", "AIza[A-Za-z0-9_-]", "[A-Za-z0-9_-]*", "AIza[A-Za-z0-9_-]{35,}", False),
+    ("stripe", "[rs]k_live_[A-Za-z0-9]", "[A-Za-z0-9]*", "[rs]k_live_[A-Za-z0-9]{16,}", False),
 ]
 KINDS = [r[0] for r in RULES]
 BASE = ("assign", "access", "hex")
@@ -64,39 +64,32 @@ def combined() -> Automaton:
 
 
 @lru_cache(maxsize=1)
-def single() -> list[tuple[Automaton, Automaton, bytes]]:
-    out = []
-    for _, _, short, least, fold, first in RULES:
-        if fold:
-            first += bytes(c ^ 32 for c in first if 97 <= c <= 122)
-        out.append((Automaton([(short, fold)], search=False), Automaton([(least, fold)], search=False), first))
-    return out
-
-
-def byte_spans(data: bytes, rule: int) -> list[tuple[int, int]]:
-    """Leftmost longest matches of a rule that are long enough, as byte positions."""
-    short, least, first = single()[rule]
-    codes = np.frombuffer(data, np.uint8)
-    begins = np.zeros(256, bool)
-    begins[list(first)] = True
-    at = begins[codes]
-    if rule == 2:  # each run is one match, so that only its first character can begin one
-        at[1:] &= ~begins[codes[:-1]]
-    out, done = [], 0
-    for i in np.flatnonzero(at).tolist():
-        if i < done:
-            continue
-        end = short.longest(data, i)
-        if end > i:
+def single() -> list[tuple[Automaton, Automaton, Automaton]]:
+    """For each rule the turned head, the tail, and the rule with its least length."""
+    return [(Automaton([(head, fold)], search=False, reverse=True), Automaton([(tail, fold)], search=False), Automaton([(least, fold)], search=False)) for _, head, tail, least, fold in RULES]
+
+
+def byte_spans(data: bytes, rule: int, ends: np.ndarray) -> list[tuple[int, int]]:
+    """Leftmost longest matches of a rule that are long enough, as byte positions; ends: where its head ends."""
+    head, tail, least = single()[rule]
+    out, done, at = [], 0, 0
+    while at < len(ends):
+        place = int(ends[at])
+        start = head.leftmost(data, place, done)
+        end = tail.longest(data, place) if start >= 0 else -1
+        at += 1
+        if end >= 0:
             done = end
-            if least.longest(data[:end], i) == end:
-                out.append((i, end))
+            if least.longest(data, start, end) == end:
+                out.append((start, end))
+            at += int(np.searchsorted(ends[at:], done, "right"))
     return out
 
 
-def spans_of(data: bytes, mask: int) -> list[tuple[int, int, str]]:
-    """(start, end, kind) in code points for the rules in mask, by start, then kind as listed."""
-    found = [(b, e, k) for k in range(len(RULES)) if mask >> k & 1 for b, e in byte_spans(data, k)]
+def spans_of(data: bytes, ends: np.ndarray, masks: np.ndarray) -> list[tuple[int, int, str]]:
+    """(start, end, kind) in code points, by start, then kind as listed; ends, masks: where heads of which rules end."""
+    rules = int(np.bitwise_or.reduce(masks))
+    found = [(b, e, k) for k in range(len(RULES)) if rules >> k & 1 for b, e in byte_spans(data, k, ends[masks >> k & 1 == 1])]
     if not found:
         return []
     ahead = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
@@ -117,10 +110,13 @@ def scan_column(column: pa.Array) -> list[list[tuple[int, int, str]]]:
     if not len(column):
         return []
     data, offsets = buffers(column)
-    masks = combined().masks(data, offsets)
+    ends, masks = combined().hits(data, offsets)
+    owner = np.searchsorted(offsets, ends, "left") - 1
     out: list[list] = [[]] * len(column)
-    for i in np.flatnonzero(masks):
-        out[i] = spans_of(data[offsets[i] : offsets[i + 1]].tobytes(), int(masks[i]))
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    for a, b in zip(first, np.append(first[1:], len(owner))):
+        i = owner[a]
+        out[i] = spans_of(data[offsets[i] : offsets[i + 1]].tobytes(), ends[a:b] - offsets[i], masks[a:b])
     return out
 
 
