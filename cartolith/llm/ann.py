@@ -14,13 +14,16 @@ whose quantised score can, by its own quantisation error, belong to an exact sco
 scored exactly too, however many there are, and the best k of the block remain. The best k over all blocks
 are the answer. So groups of near or exact copies, whose codes tie, hide no neighbour.
 
-Scale: every block of vectors is dealt to each block of queries by a join on the latter's number;
-a task holds one block of each at a time. Nothing is broadcast but the centroids, whose size is fixed.
+Scale: the query set goes to the vectors, block by block, as it is the smaller: each block of vectors is shuffled
+once, each block of queries once for every block of vectors (a fiftieth of the rows against all rows, 8 times less
+than the other way round). A task holds one block of each at a time. Nothing is broadcast but the centroids, whose
+size is fixed; no numbers or rows are listed at the driver.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components, and those of
 another dimension than most of the sample, take no part, neither as queries nor as candidates. Fewer than
 k candidates are all returned. Equal scores go to the smaller id; copies of a vector are all candidates.
-Rows with a query's id are not its candidates. An empty table gives an empty result.
+Rows without an id take no part. Rows with a query's id are not its candidates; rows that repeat a query's id ask
+once, with the first of their vectors in order of its components. Other input columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -108,10 +111,10 @@ def pack(codes: np.ndarray) -> np.ndarray:
 
 def fit(vectors: DataFrame, sample: int = SAMPLE) -> Quantiser | None:
     """vectors: vec_id, embedding. A quantiser, or None if there is no usable vector."""
-    rows = C.smallest(vectors.where(usable(vectors["embedding"])).select(F.xxhash64("vec_id").alias("h"), "vec_id", "embedding"), "h", sample)
+    rows = C.smallest(vectors.where(usable(vectors["embedding"])).select(F.xxhash64("vec_id", "embedding").alias("h"), "vec_id", "embedding"), "h", sample)
     if not rows:
         return None
-    rows = sorted(rows, key=lambda r: (r["h"], str(r["vec_id"])))[:sample]
+    rows = sorted(rows, key=lambda r: (r["h"], str(r["vec_id"])))
     dims = np.bincount([len(r["embedding"]) for r in rows])
     x = np.array([r["embedding"] for r in rows if len(r["embedding"]) == dims.argmax()], np.float64)
     return Quantiser.fit(x / np.linalg.norm(x, axis=1, keepdims=True))
@@ -214,10 +217,9 @@ def search_block(ids, x, codes, query_ids, q, quantiser: Quantiser, k: int, rera
 
 def search(index: DataFrame, queries: DataFrame, quantiser: Quantiser, k: int = 5, rerank: int = RERANK) -> DataFrame:
     """index, queries: blocks. Returns query_id, rank, vec_id, score."""
-    numbers = sorted(r["block"] for r in queries.select("block").collect())  # one for each QUERIES queries
-    parts = index.select("ids", "vectors", "codes", F.explode(F.array(*map(F.lit, numbers)).cast("array<long>")).alias("q"))
-    asked = queries.select(F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    pairs = parts.join(asked, "q").select("ids", "vectors", "codes", "q_ids", "q_vectors")
+    # a stated set of queries against all rows, in blocks: one row here for each pair of blocks
+    asked = queries.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")).crossJoin(index.select("block"))
+    pairs = asked.join(index, "block").select("ids", "vectors", "codes", "q_ids", "q_vectors")
     dim = quantiser.dim
 
     def run(batches):
@@ -241,7 +243,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, sample: int = SAMPLE, rera
     if quantiser is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index = C.materialise(blocks(vectors, quantiser.dim, BLOCK, quantiser), "index")
-    queries = C.materialise(blocks(vectors.where(is_query), quantiser.dim, QUERIES), "queries")
+    asked = vectors.where(is_query).where(usable(vectors["embedding"]) & (F.size(vectors["embedding"]) == quantiser.dim))
+    asked = asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    queries = C.materialise(blocks(asked, quantiser.dim, QUERIES), "queries")
     return search(index, queries, quantiser, k, rerank)
 
 

@@ -13,7 +13,7 @@ are filled by a hash of the digest: no text, however frequent, makes a large sha
 lengths and ids is shuffled.
 
 Edge cases: a null text counts as the empty text, and all those are one group. A null doc_id loses every
-tie and gives a null keep_id only if no row of the group has an id. Rows repeated with their doc_id are
+tie and gives a null keep_id only if no row of the group has an id; the id 2^63 - 1 counts as null. Rows repeated with their doc_id are
 copies of each other; all rows with the doc_id and length that stay are marked as kept, and
 drop_duplicates() leaves one of them. Other columns of the input, whatever their names, are ignored by
 annotate() and kept by drop_duplicates(). An empty table gives an empty result.
@@ -130,13 +130,15 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     kept = annotate(docs, id_col, text_col).where("kept")
-    marks = C.materialise(kept.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.count(F.lit(1)).alias("__n")), "kept")
-    rows = docs.withColumn("__sum", F.sha2(normalised(docs[text_col]), 256))
-    rows = rows.join(marks, (rows["__sum"] == marks["__sha"]) & rows[id_col].cast("long").eqNullSafe(marks["__id"]))
-    if marks.where("__n > 1").take(1):  # rows repeat an id
-        w = Window.partitionBy(id_col, "__sum").orderBy(F.desc(F.length(F.coalesce(F.col(text_col), F.lit("")))))
-        rows = rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") == 1)
-    return rows.select(*docs.columns)
+    marks = C.materialise(kept.groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).agg(F.count(F.lit(1)).alias("times")), "kept")
+    digest, size = (C.fresh(x, [*docs.columns, "id", "sha", "times"]) for x in ("digest_of_text", "size_of_text"))
+    rows = docs.withColumns({digest: F.sha2(normalised(docs[text_col]), 256), size: F.length(F.coalesce(docs[text_col], F.lit("")))})
+    rows = rows.join(marks, (rows[digest] == marks["sha"]) & rows[id_col].cast("long").eqNullSafe(marks["id"]))
+    if marks.where("times > 1").take(1):  # rows repeat an id: of those the longest stays, whichever of equals
+        longest = rows.groupBy(marks["id"].alias("its_id"), marks["sha"].alias("its_sha")).agg(F.max(rows[size]).alias("its_size"))
+        own = rows[id_col].cast("long").eqNullSafe(longest["its_id"]) & (rows[digest] == longest["its_sha"]) & (rows[size] == longest["its_size"])
+        rows = rows.join(longest, own, "left_semi").dropDuplicates([id_col, digest])
+    return rows.select(*[docs[c] for c in docs.columns])
 
 
 ORACLE = r"""

@@ -12,11 +12,14 @@ A text larger than a bin is cut: whole bins of its own, which nothing else enter
 packed like any other item. No text is dropped, and every unit of each text lies in exactly one bin.
 
 Scale: items (id, size, source, cluster; no text) are dealt to groups of about GROUP items by a hash of
-the id, and each group is packed for itself in one task. The number of groups grows with the input, their
-size does not, and no source or cluster makes a group large. Each group leaves a few bins less full than
-one packing of all would.
+the item and, if rows repeat, the number of the copy; each group is packed for itself in one task. The number of
+groups grows with the input, their size does not, and no source, cluster or repeated row makes a group large. Each
+group leaves a few bins less full than one packing of all would (on check_s: FILL_LOST).
 
-Edge cases: items of size 0 (null or empty texts) lie in no bin: one row with a null bin and length 0.
+sequences() puts the packed bytes together: one row a bin, with the bytes of its pieces one after another and where
+each begins. Pieces are cut between bytes, as a model of bytes or byte-level tokens reads them.
+
+Edge cases: items of size 0 (null or empty texts) lie in no bin: one row with a null bin and length 0; they are not dealt to groups.
 A null source is a source of its own, as is a null cluster (which conflicts with nothing). Rows that
 repeat an id are items of their own; equal sizes are taken in order of id. Other input columns are
 ignored. An empty table gives an empty result.
@@ -116,12 +119,37 @@ def _pack(capacity: int, share: float):
 def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, share: float = SHARE) -> DataFrame:
     """items: doc_id, size, source, cluster (any more columns are ignored). One row for each piece of a text."""
     C.prepare(items.sparkSession)
-    groups = C.shards_for(items.count(), group)
-    rows = items.select(
-        items["doc_id"].cast("long").alias("doc_id"), F.coalesce(items["size"].cast("long"), F.lit(0)).alias("size"), items["source"].cast("string").alias("source"), items["cluster"].cast("string").alias("cluster")
-    )
-    rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "size", "cluster"), F.lit(groups)).cast("int"))
-    return rows.groupBy("grp").applyInPandas(_pack(capacity, share), PACKED)
+    size = F.coalesce(items["size"].cast("long"), F.lit(0))
+    rows = items.select(items["doc_id"].cast("long").alias("doc_id"), size.alias("size"), items["source"].cast("string").alias("source"), items["cluster"].cast("string").alias("cluster"))
+    copies = rows.where("size > 0").groupBy("doc_id", "size", "source", "cluster").agg(F.count(F.lit(1)).alias("times"))
+    copies = C.materialise(copies, "items")
+    groups = C.shards_for(copies.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0], group)
+    each = copies.select("doc_id", "size", "source", "cluster", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
+    dealt = each.withColumn("grp", F.pmod(F.xxhash64("doc_id", "size", "cluster", "copy"), F.lit(groups)).cast("int")).drop("copy")
+    packed = dealt.groupBy("grp").applyInPandas(_pack(capacity, share), PACKED)
+    nowhere = F.lit(None).cast("int")
+    empty = rows.where("size <= 0").select("doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("length"), nowhere.alias("bin_group"), nowhere.alias("bin_no"))
+    return packed.union(empty)
+
+
+def sequences(packed: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """bin_group, bin_no, doc_ids, begins, data of every bin: its pieces' bytes one after another, in order of size, id and place.
+
+    packed: as pack() gives it for items_of(docs). Bins are small, so that each is put together in one row. Rows that
+    repeat an id with texts of different length are told apart by their length.
+    """
+    text = F.coalesce(docs[text_col], F.lit("")).cast("binary")
+    ends = packed.groupBy("doc_id", "bin_group").agg(F.max(F.col("start") + F.col("length")).alias("size"))
+    texts = docs.select(docs[id_col].cast("long").alias("id"), text.alias("bytes")).groupBy("id", F.octet_length("bytes").cast("long").alias("n")).agg(F.first("bytes").alias("bytes"))
+    pieces = packed.where("bin_no IS NOT NULL").join(ends, packed["doc_id"].eqNullSafe(ends["doc_id"]) & (packed["bin_group"] == ends["bin_group"])).select(packed["*"], "size")
+    rows = pieces.join(texts, pieces["doc_id"].eqNullSafe(texts["id"]) & (pieces["size"] == texts["n"]))
+    part = F.substring("bytes", F.col("start").cast("int") + 1, F.col("length").cast("int"))
+    entry = F.struct((-F.col("length")).alias("l"), "doc_id", "start", part.alias("b"))
+    bins = rows.groupBy("bin_group", "bin_no").agg(F.array_sort(F.collect_list(entry)).alias("p"))
+    lengths = F.transform("p", lambda x: F.length(x["b"]))
+    begins = F.aggregate(F.slice(lengths, 1, F.size("p") - 1), F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
+    data = F.aggregate(F.transform("p", lambda x: x["b"]), F.lit(b""), lambda acc, b: F.concat(acc, b))
+    return bins.select("bin_group", "bin_no", F.transform("p", lambda x: x["doc_id"]).alias("doc_ids"), begins.alias("begins"), data.alias("data"))
 
 
 def items_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

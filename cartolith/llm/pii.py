@@ -1,8 +1,8 @@
 """Personal data in texts, with DataFrame functions only.
 
 Regular expressions propose spans, validators confirm them (numeric range of address parts, Luhn for
-cards, mod-97 for IBANs, digit counts for phones), and context words in the characters before a span
-raise its score. Base kinds (email, ip, card, phone) are spans as soon as they are confirmed; further
+cards, mod-97 for IBANs, digit counts for phones), and context words in the NEAR characters before a span
+(since the last match of its kind) raise its score. Base kinds (email, ip, card, phone) are spans as soon as they are confirmed; further
 kinds (iban, ssn) need a score of at least LEAST.
 
 Matches of a kind are leftmost and do not overlap; matches that fail their validator are dropped and not
@@ -10,10 +10,12 @@ tried again. The patterns are written so that each run of characters is read onc
 run begins or where the last match ended (\\G), and repetitions do not give back what they took, which
 changes none of the matches but keeps very long texts linear and off the stack.
 
-Positions come from the pieces of text between the matches, in code points, with an exclusive end.
+Positions come from the pieces of text between the matches, in code points, with an exclusive end. They are summed
+in parts of PART matches, so that the work stays in proportion to the matches of a text.
 
 Edge cases: a null text counts as empty and has no spans. Texts are read whole. Equal rows give equal
-results; input columns other than the id and the text are ignored. An empty table gives an empty result.
+results, whatever their ids (a null id stays null); input columns other than the id and the text, whatever their
+names, are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ PATTERNS = {
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b",
-    "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+    "iban": r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9_])",
+    "ssn": r"(?<![A-Za-z0-9_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])",
 }
 #: Cheap conditions without which a kind cannot occur in a text.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][0-9\\x20-]{11}", "phone": "+", "iban": "[A-Z]{2}[0-9]{2}[A-Z0-9]{11}", "ssn": "[0-9]-[0-9]{2}-[0-9]"}
@@ -43,7 +45,7 @@ CONTEXT = {
     "iban": "iban|bank|account|konto|compte|cuenta",
     "ssn": r"\bssn\b|social security|insurance",
 }
-BASE, KINDS, LEAST, NEAR = ("email", "ip", "card", "phone"), tuple(PATTERNS), 0.5, 40
+BASE, KINDS, LEAST, NEAR, PART = ("email", "ip", "card", "phone"), tuple(PATTERNS), 0.5, 40, 128
 SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
@@ -79,31 +81,36 @@ def confirmed(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def proposed(text: Column, kind: str) -> Column:
-    """Matches of a kind as structs of text, start and end; an array without entries if it cannot occur."""
-    pattern = F.lit(PATTERNS[kind])
-    entry = "array<struct<m:string,start:int,end:int>>"
-    pieces, matches = F.split(text, PATTERNS[kind], -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m")))
-    placed = F.aggregate(
+ENTRIES = "array<struct<m:string,start:int,end:int,near:string>>"
+
+
+def _placed(kind: str, pairs: Column, begin: Column) -> Column:
+    """Confirmed matches with their positions; pairs: gap (characters before a match), near (the last of them), m; begin: where they begin."""
+    step = lambda acc, x: acc["at"] + x["gap"] + F.length(x["m"])
+    entry = lambda acc, x: F.struct(x["m"].alias("m"), (acc["at"] + x["gap"]).alias("start"), step(acc, x).alias("end"), x["near"].alias("near"))
+    return F.aggregate(
         pairs,
-        F.struct(F.lit(0).alias("at"), F.array().cast(entry).alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-            F.when(
-                confirmed(kind, x["m"]),
-                F.array_append(acc["out"], F.struct(x["m"].alias("m"), (acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["m"])).alias("end"))),
-            ).otherwise(acc["out"]).alias("out"),
-        ),
-    )["out"]
+        F.struct(begin.alias("at"), F.array().cast(ENTRIES).alias("out")),
+        lambda acc, x: F.struct(step(acc, x).alias("at"), F.when(confirmed(kind, x["m"]), F.array_append(acc["out"], entry(acc, x))).otherwise(acc["out"]).alias("out")),
+    )["out"]
+
+
+def proposed(text: Column, kind: str) -> Column:
+    """Matches of a kind as structs of text, start, end and the text before; an array without entries if it cannot occur."""
+    pieces, matches = F.split(text, PATTERNS[kind], -1), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
+    pairs = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("gap"), F.right(p, F.lit(NEAR)).alias("near"), m.alias("m")))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / PART).cast("int")), lambda i: F.slice(pairs, i * PART + 1, F.lit(PART)))
+    lengths = F.transform(parts, lambda part: F.aggregate(part, F.lit(0), lambda acc, x: acc + x["gap"] + F.length(x["m"])))
+    begins = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
+    parted = F.flatten(F.zip_with(parts, F.slice(begins, 1, F.size(parts)), lambda part, begin: _placed(kind, part, begin)))
     hint = F.contains(text, F.lit(HINTS[kind])) if kind in ("email", "phone") else text.rlike(HINTS[kind])
-    return F.when(hint, placed).otherwise(F.array().cast(entry))
+    few = F.regexp_count(text, F.lit(PATTERNS[kind])) <= PART
+    return F.when(hint, F.when(few, _placed(kind, pairs, F.lit(0))).otherwise(parted)).otherwise(F.array().cast(ENTRIES))
 
 
-def scored(text: Column, kind: str, found: Column) -> Column:
+def scored(kind: str, found: Column) -> Column:
     def span(x):
-        before = F.substr(text, F.greatest(x["start"] - NEAR + 1, F.lit(1)), F.least(x["start"], F.lit(NEAR)))
-        score = F.lit(SCORES[kind]) + F.when(F.lower(before).rlike(CONTEXT[kind]), 0.2).otherwise(0.0)
+        score = F.lit(SCORES[kind]) + F.when(F.lower(x["near"]).rlike(CONTEXT[kind]), 0.2).otherwise(0.0)
         return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), score.alias("score"))
 
     spans = F.transform(found, span)
@@ -114,7 +121,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """doc_id and, for each kind, an array of spans (kind, start, end, score)."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", *[proposed(F.col("text"), k).alias(f"found_{k}") for k in KINDS])
-    return rows.select("doc_id", *[scored(F.col("text"), k, F.col(f"found_{k}")).alias(k) for k in KINDS])
+    return rows.select("doc_id", *[scored(k, F.col(f"found_{k}")).alias(k) for k in KINDS])
 
 
 def _joined(spans: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, byte_bpe, exact_dedup, html_text, lang_id, line_dedup, near_dedup, packing, pii, secret_scan
+from . import ann, byte_bpe, exact_dedup, html_text, lang_id, line_dedup, near_dedup, packing, pii, secret_scan, sql
 
 
 def queries():
@@ -23,4 +23,8 @@ def queries():
 def oracle_sql():
     return {
         "op1_exact_dedup": exact_dedup.ORACLE,
+        "op2_near_dedup": sql.NEAR,
+        "op5_secret_scan": sql.SECRETS,
+        "op7_line_dedup": sql.LINES,
+        "op8_pii": sql.PII,
     }
