@@ -184,10 +184,19 @@ def code_errors(x: np.ndarray, codes: np.ndarray, quantiser: Quantiser) -> tuple
     return along, np.sqrt(((near - along[:, None] * x) ** 2).sum(axis=1))
 
 
+def _summed(products: np.ndarray) -> np.ndarray:
+    """Sums of rows from the first column to the last, so that they come out alike wherever they are made."""
+    out = products[:, 0].copy()
+    for column in products.T[1:]:
+        out += column
+    return out
+
+
 def search_block(ids, x, codes, query_ids, q, quantiser: Quantiser, k: int, rerank: int):
     """The k best rows of a block for each query: (query, row id, exact cosine)."""
     out_q, out_i, out_s = [], [], []
-    norm, q_norm = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
+    square, q_square = _summed(x * x), _summed(q * q)
+    norm, q_norm = np.sqrt(square), np.sqrt(q_square)
     columns = np.ascontiguousarray(codes.T)
     along, across = code_errors(x / norm[:, None], codes, quantiser)
     for begin in range(0, len(q), 256):
@@ -196,7 +205,7 @@ def search_block(ids, x, codes, query_ids, q, quantiser: Quantiser, k: int, rera
             score = table[0][columns[0]]
             for b in range(1, len(columns)):
                 score += table[b][columns[b]]
-            exactly = lambda rows: (x[rows] * q[j]).sum(axis=1) / (norm[rows] * q_norm[j])  # noqa: B023, E731
+            exactly = lambda rows: np.clip(_summed(x[rows] * q[j]) / np.sqrt(square[rows] * q_square[j]), -1, 1)  # noqa: B023, E731
             rows = best_rows(score, rerank + 1)
             rows = rows[ids[rows] != query_ids[j]]
             exact = exactly(rows)
@@ -252,3 +261,16 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, sample: int = SAMPLE, rera
 def op10_ann(spark, sf_dir: str) -> DataFrame:
     vectors = C.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest(vectors, F.col("vec_id") % 50 == 0)
+
+
+ORACLE = """
+WITH usable AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.e, v.e) AS score FROM usable q JOIN usable v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e)
+  WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM scored
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""

@@ -39,11 +39,11 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][0-9\\x20-]{11}", "p
 SCORES = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4}
 CONTEXT = {
     "email": "mail|contact|write|adress|correo|courriel",
-    "ip": r"\bip\b|host|server|address|network",
+    "ip": r"(?<![a-z0-9_])ip(?![a-z0-9_])|host|server|address|network",
     "card": "card|visa|credit|payment|karte|carte|tarjeta",
     "phone": "phone|tel|call|mobile|fax|anruf",
     "iban": "iban|bank|account|konto|compte|cuenta",
-    "ssn": r"\bssn\b|social security|insurance",
+    "ssn": r"(?<![a-z0-9_])ssn(?![a-z0-9_])|social security|insurance",
 }
 BASE, KINDS, LEAST, NEAR, PART = ("email", "ip", "card", "phone"), tuple(PATTERNS), 0.5, 40, 128
 SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"

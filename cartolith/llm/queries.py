@@ -27,4 +27,5 @@ def oracle_sql():
         "op5_secret_scan": sql.SECRETS,
         "op7_line_dedup": sql.LINES,
         "op8_pii": sql.PII,
+        "op10_ann": ann.ORACLE,
     }

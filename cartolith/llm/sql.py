@@ -31,6 +31,8 @@ _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
 _LUHN = f"list_sum([CASE WHEN i % 2 = 1 THEN ord({_DIGITS}[-i]) - 48 ELSE 2 * (ord({_DIGITS}[-i]) - 48) - CASE WHEN ord({_DIGITS}[-i]) > 52 THEN 9 ELSE 0 END END FOR i IN range(1, length({_DIGITS}) + 1)]) % 10 = 0"
 _MOD97 = "list_reduce(list_prepend(0::BIGINT, [CASE WHEN ord(c) < 58 THEN ord(c) - 48 ELSE ord(c) - 55 END::BIGINT FOR c IN string_split(m[5:] || m[:4], '')]), lambda a, c: (CASE WHEN c < 10 THEN a * 10 + c ELSE a * 100 + c END) % 97) = 1"
 
+_SSN = r"\bssn\b|social security|insurance"
+
 #: Patterns without what only speeds up or bounds the operator's own.
 _PERSONAL = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
@@ -38,7 +40,7 @@ _PERSONAL = [
     ("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
     ("iban", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", _MOD97),
-    ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", f"regexp_matches(lower(right(gap, {pii.NEAR})), {_quoted(pii.CONTEXT['ssn'])})"),
+    ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", f"regexp_matches(lower(right(gap, {pii.NEAR})), {_quoted(_SSN)})"),
 ]
 
 

@@ -339,7 +339,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 
 
 def test_html_text(spark):
-    want = "A & B\nFirst paragraph, of some length.\nSecond one.\nThird."
+    want = "A & B\n\nFirst paragraph, of some length.\n\nSecond one.\n\nThird."
     weights = html_text.train([PAGE] * 3)
     assert html_text.extract(PAGE) == want and html_text.extract(PAGE, weights) == want
     assert html_text.extract(None) == "" and html_text.extract("") == "" and html_text.extract("<p>") == ""
