@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from . import _common as C
 
-SALTS = 16
+SALTS = 8
 
 
 def _with_least(links: DataFrame, least: DataFrame) -> DataFrame:
     """links with the row of least for their u; the links of a hub are spread over SALTS keys."""
     dealt = links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    return dealt.join(least.withColumn("salt", F.explode(F.lit(list(range(SALTS))))), ["u", "salt"]).drop("salt")
+    each = least.withColumn("salt", F.explode(F.lit(list(range(SALTS))))).hint("merge")  # its size is underestimated: not to be broadcast
+    return dealt.join(each, ["u", "salt"]).drop("salt")
 
 
 def _large_star(links: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ with a probability below 1e-6, one of 0.8 below 1.2e-4; near_duplicates() takes
 number of bands for a probability below MISS at that similarity.
 
 1. Texts with the same set are one class, known by a number of its own. Only classes go on, with one of their texts.
-2. In each bucket of a band, every class is compared with the bucket's first class, on full sets (star).
+2. In each bucket of a band, every class is compared with the bucket's first class, on full sets (star): the one that
+   meets most others in its buckets, as the text that others were made from does.
 3. Components of the links so far. In buckets that hold several components, pairs of classes of different
    components are left. In buckets of up to SMALL classes those pairs are compared that the metric does not rule
    out: Jaccard distance obeys the triangle inequality, so that two classes whose known distances from the
@@ -186,9 +187,12 @@ def _classed(docs: DataFrame, size: int, percent: int, rows: int, miss: float) -
     classes = C.materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     buckets = classes.select("node", F.explode("bands").alias("band"))
-    shared = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("first")).where("members > 1").select("band", "first")
-    members = C.materialise(buckets.join(shared, "band").select("band", "first", "node"), "members")
-    star = members.where("node > first").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct()
+    sizes = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = C.materialise(buckets.join(sizes, "band"), "shared")
+    met = shared.groupBy("node").agg(F.sum("members").alias("met"))
+    centres = shared.join(met, "node").groupBy("band").agg(F.max(F.struct("met", "node"))["node"].alias("first"))
+    members = C.materialise(shared.join(centres, "band").select("band", "first", "node"), "members")
+    star = members.where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct()
     nodes = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("least.doc_id").alias("id"), F.col("least.h").alias("hash"))
     texts = docs.join(nodes, docs["doc_id"].eqNullSafe(nodes["id"]) & (docs["h"] == nodes["hash"])).groupBy("node").agg(F.first("text").alias("text"))
     texts = C.materialise(texts, "texts")
@@ -215,7 +219,7 @@ def _classed(docs: DataFrame, size: int, percent: int, rows: int, miss: float) -
     if more.take(1):
         label = components(links.union(more))
     of_class = classes.join(label, "node", "left").select("set_key", "least", F.coalesce("component", "node").alias("component"))
-    C.release(members, texts, known, at, rest)
+    C.release(shared, members, texts, known, at, rest)
     return sets.select("doc_id", "h", "n", "set_key"), C.materialise(of_class, "labelled")
 
 
