@@ -100,10 +100,6 @@ def st_as_geojson(wkb: pd.Series) -> pd.Series:
 st_from_text = _udf("st_from_text", T.BinaryType(), lambda t: G.wkb_encode(G.wkt_decode(t)))
 st_from_geojson = _udf("st_from_geojson", T.BinaryType(), lambda t: G.wkb_encode(G.geojson_decode(json.loads(t))) if json.loads(t) is not None else None)
 st_normalise = _udf("st_normalise", T.BinaryType(), lambda b: G.wkb_encode(G.wkb_decode(b)))
-st_from_ewkb = _udf("st_from_ewkb", T.BinaryType(), lambda b: G.ewkb_strip(b)[0])
-st_ewkb_srid = _udf("st_ewkb_srid", T.IntegerType(), lambda b: G.ewkb_strip(b)[1])
-st_from_gpkg = _udf("st_from_gpkg", T.BinaryType(), lambda b: G.gpkg_decode(b)[0])
-st_gpkg_srid = _udf("st_gpkg_srid", T.IntegerType(), lambda b: G.gpkg_decode(b)[1])
 st_from_spatialite = _udf("st_from_spatialite", T.BinaryType(), lambda b: G.spatialite_decode(b)[0])
 st_spatialite_srid = _udf("st_spatialite_srid", T.IntegerType(), lambda b: G.spatialite_decode(b)[1])
 
@@ -126,6 +122,68 @@ def st_bbox(wkb: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=names)
 
 
+def _byte(b: Column, at: int) -> Column:
+    """The byte at a place (from 1) as a number."""
+    return F.conv(F.hex(F.substring(b, at, 1)), 16, 10).cast("int")
+
+
+def _int32(b: Column, at: int, little: Column) -> Column:
+    """The signed 32-bit integer whose first byte is at a place."""
+    digits = [F.hex(F.substring(b, at + i, 1)) for i in range(4)]
+    value = F.conv(F.when(little, F.concat(*reversed(digits))).otherwise(F.concat(*digits)), 16, 10).cast("long")
+    return F.when(value >= 2**31, value - 2**32).otherwise(value).cast("int")
+
+
+def _checked(value: Column, bad: Column, message: str) -> Column:
+    return F.when(bad, F.raise_error(F.lit(message))).otherwise(value)
+
+
+def _ewkb(b: Column) -> tuple[Column, Column, Column]:
+    """Of EWKB: whether it is little-endian, the byte of the type that holds the flags, and what makes it no plain EWKB (true or null if sound)."""
+    little = _byte(b, 1) == 1
+    flags = F.when(little, _byte(b, 5)).otherwise(_byte(b, 2))
+    has_srid = flags.bitwiseAND(0x20) != 0
+    bad = (F.length(b) < 5) | (_byte(b, 1) > 1) | (flags.bitwiseAND(0xC0) != 0) | (has_srid & (F.length(b) < 9))
+    return little, flags, bad
+
+
+def st_from_ewkb(ewkb) -> Column:
+    """WKB of EWKB without its SRID, without leaving the JVM; Z, M and truncated values are errors."""
+    b = F.col(ewkb) if isinstance(ewkb, str) else ewkb
+    little, flags, bad = _ewkb(b)
+    plain = F.unhex(F.lpad(F.hex(flags.bitwiseAND(0xDF).cast("long")), 2, "0"))
+    kept = F.when(little, F.concat(F.substring(b, 1, 4), plain)).otherwise(F.concat(F.substring(b, 1, 1), plain, F.substring(b, 3, 3)))
+    made = F.when(flags.bitwiseAND(0x20) == 0, b).otherwise(F.concat(kept, F.substring(b, 10, 2**31 - 11)))
+    return F.when(b.isNotNull(), _checked(made, bad, "not plain EWKB"))
+
+
+def st_ewkb_srid(ewkb) -> Column:
+    """SRID of EWKB, null where it has none, without leaving the JVM."""
+    b = F.col(ewkb) if isinstance(ewkb, str) else ewkb
+    little, flags, bad = _ewkb(b)
+    return F.when(b.isNotNull(), _checked(F.when(flags.bitwiseAND(0x20) != 0, _int32(b, 6, little)), bad, "not plain EWKB"))
+
+
+def _gpkg(b: Column) -> tuple[Column, Column]:
+    """Of a GeoPackage geometry: where its WKB begins (from 1), and what makes it unsound."""
+    envelope = F.shiftright(_byte(b, 4), 1).bitwiseAND(7)
+    begin = F.when(envelope == 0, 9).when(envelope == 1, 41).when(envelope.isin(2, 3), 57).when(envelope == 4, 73)
+    bad = (F.length(b) < 8) | (F.substring(b, 1, 3) != F.lit(bytearray(b"GP\0"))) | begin.isNull() | (F.length(b) < begin - 1)
+    return begin, bad
+
+
+def st_from_gpkg(blob) -> Column:
+    """WKB of a GeoPackage geometry without leaving the JVM; other values are errors."""
+    b = F.col(blob) if isinstance(blob, str) else blob
+    begin, bad = _gpkg(b)
+    return F.when(b.isNotNull(), _checked(F.substring(b, begin, F.lit(2**31 - 74)), bad, "not a GeoPackage geometry"))
+
+
+def st_gpkg_srid(blob) -> Column:
+    b = F.col(blob) if isinstance(blob, str) else blob
+    return F.when(b.isNotNull(), _checked(_int32(b, 5, _byte(b, 4).bitwiseAND(1) == 1), _gpkg(b)[1], "not a GeoPackage geometry"))
+
+
 def _le32(n: int) -> Column:
     return F.lit(bytearray(int(n).to_bytes(4, "little", signed=n < 0)))
 
@@ -158,7 +216,14 @@ def layer_bbox(df, geometry: str):
     return box.agg(F.min("b.minx").alias("minx"), F.min("b.miny").alias("miny"), F.max("b.maxx").alias("maxx"), F.max("b.maxy").alias("maxy"))
 
 
+#: For SQL texts, which cannot call functions that make expressions.
+SQL_FORMS = {
+    "st_from_ewkb": _udf("st_from_ewkb", T.BinaryType(), lambda b: G.ewkb_strip(b)[0]), "st_ewkb_srid": _udf("st_ewkb_srid", T.IntegerType(), lambda b: G.ewkb_strip(b)[1]),
+    "st_from_gpkg": _udf("st_from_gpkg", T.BinaryType(), lambda b: G.gpkg_decode(b)[0]), "st_gpkg_srid": _udf("st_gpkg_srid", T.IntegerType(), lambda b: G.gpkg_decode(b)[1]),
+}
+
+
 def register_all(spark: SparkSession) -> None:
     """Makes the functions available to SQL under their names."""
     for name in "st_point st_xy st_as_text st_as_geojson st_from_text st_from_geojson st_normalise st_from_ewkb st_ewkb_srid st_from_gpkg st_gpkg_srid st_from_spatialite st_spatialite_srid st_as_spatialite st_bbox".split():
-        spark.udf.register(name, globals()[name])
+        spark.udf.register(name, SQL_FORMS.get(name) or globals()[name])

@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 from ..model import CreateTable, DriverError, LossError, OnLoss, SchemaError, UnsupportedType, geometry_field, log, quoted
 from .text import timestamp_text
 
+#: Unsigned 64-bit integers come as this type.
+UINT64 = T.DecimalType(20, 0)
 NESTED = (T.ArrayType, T.StructType, T.MapType)
 STAMPS = (T.TimestampType, T.TimestampNTZType)
 
@@ -37,8 +39,9 @@ def apply_policy(kind: str, name: str, policy: OnLoss) -> bool:
 
 @dataclass
 class Plan:
-    columns: list[tuple[str, str]]  # name, what becomes of it: keep, empty, null, text, double, date
+    columns: list[tuple[str, str]]  # name, what becomes of it: keep, empty, null, text, double, date, uint64-(policy)
     losses: list[Loss]
+    sink: str = ""
 
 
 def plan_losses(schema: T.StructType, sink: str, policy: OnLoss) -> Plan:
@@ -59,6 +62,8 @@ def plan_losses(schema: T.StructType, sink: str, policy: OnLoss) -> Plan:
             if lose("structured", f.name):
                 raise DriverError(sink, f"column {f.name} has a nested type")
             what = ""
+        elif sink in ("geojson", "gpkg", "spatialite") and kind == UINT64:
+            what = f"uint64-{policy.value}"
         elif sink == "geojson" and isinstance(kind, T.DecimalType):
             what = "text" if lose("decimal", f.name) else ""
         elif sink == "geojson" and isinstance(kind, STAMPS):
@@ -73,7 +78,7 @@ def plan_losses(schema: T.StructType, sink: str, policy: OnLoss) -> Plan:
             what = "double"
         if what:
             columns.append((f.name, what))
-    return Plan(columns, losses)
+    return Plan(columns, losses, sink)
 
 
 def apply_plan(df: DataFrame, plan: Plan) -> DataFrame:
@@ -89,6 +94,8 @@ def apply_plan(df: DataFrame, plan: Plan) -> DataFrame:
             c = (timestamp_text(c, kind) if isinstance(kind, STAMPS) else c.cast("string")).alias(name)
         elif what == "double":
             c = c.cast("double").alias(name)
+        elif what.startswith("uint64-"):
+            c = unsigned(c, name, plan.sink, OnLoss(what.removeprefix("uint64-"))).alias(name)
         out.append(c)
     return df.select(*out)
 
@@ -106,6 +113,16 @@ def finite(value: Column, name: str, policy: OnLoss) -> Column:
     return guarded(value, bad, F.lit(None), "nonfinite-float-on-geojson", name, policy)
 
 
+def unsigned(value: Column, name: str, sink: str, policy: OnLoss) -> Column:
+    """Unsigned 64-bit integers above the signed range: a text in GeoJSON (where others are numbers), the largest signed
+    integer in SQLite files, or null there if losses are skipped."""
+    bad, kind = value > 2**63 - 1, f"uint64-overflow-on-{sink}"
+    if sink == "geojson":
+        number = F.parse_json(value.cast("string"))
+        return guarded(number, bad, F.parse_json(F.concat(F.lit('"'), value.cast("string"), F.lit('"'))), kind, name, policy)
+    return guarded(value.cast("long"), bad, F.lit(2**63 - 1 if policy == OnLoss.WARN else None).cast("long"), kind, name, policy)
+
+
 # DBF
 
 

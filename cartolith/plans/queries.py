@@ -225,16 +225,111 @@ def sanitize_table_name(spark, d):
 def sqlite_coercion(spark, d):
     from ..sources.sqlite import coerce
 
-    f = F.udf(lambda v: coerce(v, "bigint"), "bigint")
+    f = F.pandas_udf(lambda s: s.map(lambda v: coerce(v, "bigint")), "bigint")
     return _table(spark, d, "part").select("p_partkey", f("p_retailprice").alias("whole"))
 
 
 def copy_binary_rows(spark, d):
-    """Bytes of the COPY payload (without header and trailer) of all customers."""
-    df = points(spark, d).select("c_custkey", "c_name", "c_acctbal", "geometry")
-    return rdb.encode_copy(df, 4326).agg(F.sum(F.length("chunk")).cast("long").alias("n_bytes"))
+    """Each customer's row of the COPY payload (without header and trailer)."""
+    df = points(spark, d).select("c_custkey", "c_name", "c_nationkey", "geometry")
+    return rdb.encode_copy(df, 4326, chunk=1).select(F.lower(F.hex("chunk")).alias("row_hex"))
 
 
+def convert_mesh(spark, d):
+    """A layer through six formats one after another."""
+    rows = points(spark, d).select("c_custkey", "c_name", "c_acctbal", "geometry")
+    paths = [files.scratch(spark, f"mesh.{x}") for x in ("gpkg", "fgb", "parquet", "ndjson", "sqlite", "geojson")]
+    P.write_layer(rows, paths[0])
+    for a, b in zip(paths, paths[1:]):
+        P.convert(spark, a, b)
+    return _wkt(P.read_layer(spark, paths[-1]), "c_custkey", "c_name", "c_acctbal")
+
+
+def convert_reprojected(spark, d):
+    a, b = files.scratch(spark, "a.gpkg"), files.scratch(spark, "b.parquet")
+    P.write_layer(points(spark, d).select("c_custkey", "geometry"), a)
+    P.convert(spark, a, b, read=M.ReadOptions(where="c_custkey % 2 = 0"), to="EPSG:3857")
+    return _rounded(P.read_layer(spark, b), "c_custkey")
+
+
+def layer_where_select(spark, d):
+    return _wkt(filters.apply(points(spark, d), M.ReadOptions(where="c_nationkey < 5", select=("c_custkey", "geometry"))), "c_custkey")
+
+
+def geojson_inference(spark, d):
+    """Types that properties of mixed JSON values get."""
+    k = F.col("c_custkey").cast("string")
+    whole = F.concat(F.lit('{"type":"Feature","geometry":null,"properties":{"whole":'), k, F.lit(',"mixed":'), F.when(F.col("c_custkey") % 2 == 0, k).otherwise(F.concat(k, F.lit(".5"))), F.lit(',"flag":true,"text":'), F.when(F.col("c_custkey") % 2 == 0, k).otherwise(F.lit('"word"')), F.lit(',"nested":{"a":['), k, F.lit("]}}}"))
+    path = files.scratch(spark, "mixed.ndjson")
+    _table(spark, d, "customer").select(whole).write.text(path)
+    return P.read_layer(spark, path).select("whole", "mixed", "flag", "text", "nested")
+
+
+def geojson_crs(spark, d):
+    """The crs member of a collection, as the layer's CRS, and coordinates brought to EPSG:4326 from it."""
+    path = files.scratch(spark, "crs.geojson")
+    rows = points(spark, d, crs=3857).select("c_custkey", "geometry")
+    from ..sources.geojson import feature_texts
+
+    texts = [r["value"] for r in feature_texts(M.with_geometry(rows, "geometry", F.col("geometry"), M.GeometryMeta("Point", None)), M.WriteOptions()).orderBy("value").limit(100).collect()]
+    with open(path, "w", encoding="utf-8") as f:  # a small document with a member that the writer does not write
+        f.write('{"type":"FeatureCollection","crs":{"type":"name","properties":{"name":"urn:ogc:def:crs:EPSG::3857"}},"features":[' + ",".join(texts) + "]}")
+    df = P.read_layer(spark, path)
+    crs = M.GeometryMeta.from_json(M.geometry_field(df.schema).metadata[M.GEOMETRY_KEY]).crs
+    return df.agg(F.count(F.lit(1)).alias("n")).withColumn("crs", F.lit(crs.describe()))
+
+
+def uint64_on_geojson(spark, d):
+    from ..sources.geojson import feature_texts
+
+    big = F.when(F.col("c_custkey") % 2 == 0, F.lit("18446744073709551615")).otherwise(F.col("c_custkey").cast("string")).cast("decimal(20,0)")
+    return feature_texts(points(spark, d).select(big.alias("u"), "geometry"), M.WriteOptions(on_loss=M.OnLoss.WARN)).withColumnRenamed("value", "feature")
+
+
+def uint64_on_gpkg(spark, d):
+    path = files.scratch(spark, "u.gpkg")
+    big = F.when(F.col("c_custkey") % 2 == 0, F.lit("18446744073709551615")).otherwise(F.col("c_custkey").cast("string")).cast("decimal(20,0)")
+    P.write_layer(points(spark, d).select("c_custkey", big.alias("u"), "geometry"), path, M.WriteOptions(on_loss=M.OnLoss.WARN))
+    return P.read_layer(spark, path).select("c_custkey", "u")
+
+
+def fmt_timestamp_zone(spark, d):
+    """Timestamps with a zone, as text in UTC."""
+    ts = F.to_utc_timestamp(F.from_utc_timestamp(F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp"))), F.current_timezone()), F.current_timezone())
+    return _table(spark, d, "events").select("event_id", text.timestamp_text(ts, T.TimestampType()).alias("t"))
+
+
+def dbf_text_cut(spark, d):
+    """Texts cut to a number of bytes of UTF-8, between characters."""
+    f = F.pandas_udf(lambda s: s.map(lambda v: text.cut_bytes(v, 7)), "string")
+    return _table(spark, d, "customer").select("c_custkey", f(F.concat(F.lit("aé漢"), F.col("c_custkey").cast("string"))).alias("cut"))
+
+
+def missing_crs_on_gpkg(spark, d):
+    """A layer without CRS is written with srs_id 0 where losses are warned of."""
+    path = files.scratch(spark, "none.gpkg")
+    df = M.with_geometry(points(spark, d).select("c_custkey", "geometry"), "geometry", F.col("geometry"), M.GeometryMeta("Point", None))
+    P.write_layer(df, path, M.WriteOptions(on_loss=M.OnLoss.WARN))
+    return P.info(spark, path).where("key IN ('rows', 'crs')")
+
+
+def statement_sizes(spark, d):
+    """Rows that one INSERT of a database takes, for so many attributes."""
+    n = spark.range(1, 41).select(F.col("id").cast("int").alias("attributes")).collect()
+    return spark.createDataFrame([(r[0], rdb.insert_rows("pg", r[0]), rdb.insert_rows("mssql", r[0])) for r in n], "attributes int, pg int, mssql int")
+
+
+def _double_hex(x: str) -> str:
+    """SQL for the little-endian bytes of an integer as a double, from the definition of the format."""
+    e = f"floor(log2(abs({x}) + 0.0001))::BIGINT"
+    bits = f"(CASE WHEN {x} < 0 THEN 2048 ELSE 0 END + 1023 + {e})"
+    mantissa = f"((abs({x})::BIGINT << (52 - {e})) - (1::BIGINT << 52))"
+    digits = f"CASE WHEN {x} = 0 THEN repeat('0', 16) ELSE lpad(lower(to_hex({bits})), 3, '0') || lpad(lower(to_hex({mantissa})), 13, '0') END"
+    return "(" + " || ".join(f"substr({digits}, {i}, 2)" for i in range(15, 0, -2)) + ")"
+
+
+COPY_ROWS = f"""SELECT '0004' || '00000008' || lpad(lower(to_hex(c_custkey)), 16, '0') || lpad(lower(to_hex(strlen(c_name))), 8, '0') || lower(hex(encode(c_name)))
+  || '00000004' || lpad(lower(to_hex(c_nationkey)), 8, '0') || '00000019' || '0101000020e6100000' || {_double_hex(X)} || {_double_hex(Y)} AS row_hex FROM customer"""
 CUSTOMER = f"SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, {POINT} AS wkt FROM customer"
 QUERIES = {
     "reproject_lineitem": (reproject_lineitem, "SELECT l_returnflag, count(*) AS n, round(min(6378137 * radians(l_orderkey % 360 - 180)), 2) AS min_x, round(max(6378137 * ln(tan(pi() / 4 + radians(l_orderkey % 170 - 85) / 2))), 2) AS max_y FROM lineitem GROUP BY 1"),
@@ -275,7 +370,18 @@ QUERIES = {
     "drivers_list": (drivers_list, "SELECT * FROM (VALUES ('csv', 'csv,tsv'), ('fgb', 'fgb'), ('geojson', 'geojson,geojsonl,ndjson,jsonl'), ('gpkg', 'gpkg'), ('parquet', 'parquet'), ('postgis', 'pg'), ('shp', 'shp'), ('spatialite', 'sqlite,db,spatialite'), ('sqlserver', 'mssql')) v(name, schemes)"),
     "sanitize_table_name": (sanitize_table_name, "SELECT c_custkey, '_' || c_custkey || '_' || regexp_replace(c_name, '[^A-Za-z0-9_]', '_', 'g') AS name FROM customer"),
     "sqlite_coercion": (sqlite_coercion, "SELECT p_partkey, trunc(p_retailprice)::BIGINT AS whole FROM part"),
-    "copy_binary_rows": (copy_binary_rows, "SELECT sum(2 + 4 + 8 + 4 + strlen(c_name) + 4 + 8 + 4 + 25)::BIGINT AS n_bytes FROM customer"),
+    "copy_binary_rows": (copy_binary_rows, COPY_ROWS),
+    "convert_mesh": (convert_mesh, f"SELECT c_custkey, c_name, c_acctbal, {POINT} AS wkt FROM customer"),
+    "convert_reprojected": (convert_reprojected, f"SELECT c_custkey, {MX} AS x, {MY} AS y FROM customer WHERE c_custkey % 2 = 0"),
+    "layer_where_select": (layer_where_select, f"SELECT c_custkey, {POINT} AS wkt FROM customer WHERE c_nationkey < 5"),
+    "geojson_inference": (geojson_inference, """SELECT c_custkey AS whole, CASE WHEN c_custkey % 2 = 0 THEN c_custkey::DOUBLE ELSE c_custkey + 0.5::DOUBLE END AS mixed, true AS flag, CASE WHEN c_custkey % 2 = 0 THEN c_custkey::VARCHAR ELSE 'word' END AS text, '{"a":[' || c_custkey || ']}' AS nested FROM customer"""),
+    "geojson_crs": (geojson_crs, "SELECT 100::BIGINT AS n, 'EPSG:3857' AS crs"),
+    "uint64_on_geojson": (uint64_on_geojson, f"""SELECT '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || {X} || '.0,' || {Y} || '.0]}},"properties":{{"u":' || CASE WHEN c_custkey % 2 = 0 THEN '"18446744073709551615"' ELSE c_custkey::VARCHAR END || '}}}}' AS feature FROM customer"""),
+    "uint64_on_gpkg": (uint64_on_gpkg, "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 9223372036854775807 ELSE c_custkey END::BIGINT AS u FROM customer"),
+    "fmt_timestamp_zone": (fmt_timestamp_zone, "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS t FROM events"),
+    "dbf_text_cut": (dbf_text_cut, "SELECT c_custkey, left('aé漢' || c_custkey, 4) AS cut FROM customer"),
+    "missing_crs_on_gpkg": (missing_crs_on_gpkg, "SELECT * FROM (VALUES ('rows', (SELECT count(*) FROM customer)::VARCHAR), ('crs', 'none')) v(key, value)"),
+    "statement_sizes": (statement_sizes, "SELECT a::INT AS attributes, ((32767 - 16) // (a + 1))::INT AS pg, ((2100 - 16) // (a + 2))::INT AS mssql FROM range(1, 41) t(a)"),
     "shp_roundtrip": (lambda spark, d: _shp(spark, d), f"SELECT c_custkey::DOUBLE AS c_custkey, c_name, c_nationkey::DOUBLE AS c_nationke, round(c_acctbal, 6) AS c_acctbal, c_mktsegment AS c_mktsegme, {POINT} AS wkt FROM customer"),
 }
 

@@ -256,8 +256,8 @@ def copy_row(values, kinds, wkb: bytes | None, srid: int) -> bytes:
     return struct.pack(">h", len(values) + 1) + b"".join(map(field_bytes, values, kinds)) + shape
 
 
-def encode_copy(df: DataFrame, srid: int) -> DataFrame:
-    """COPY BINARY payload in chunks of about 64 KiB, made in parallel; header and trailer go around all of them."""
+def encode_copy(df: DataFrame, srid: int, chunk: int = 65_536) -> DataFrame:
+    """COPY BINARY payload in chunks of about so many bytes (a row a chunk: 1), made in parallel; header and trailer go around all of them."""
     geometry, _ = require_geometry(df.schema)
     names, kinds = [f.name for f in df.schema.fields if f.name != geometry], [f.dataType for f in df.schema.fields if f.name != geometry]
 
@@ -269,7 +269,7 @@ def encode_copy(df: DataFrame, srid: int) -> DataFrame:
             chunks, now = [], bytearray()
             for i, wkb in enumerate(batch.column(geometry).to_pylist()):
                 now += copy_row([c[i] for c in columns] if names else [], kinds, wkb, srid)
-                if len(now) >= 65_536:
+                if len(now) >= chunk:
                     chunks.append(bytes(now))
                     now.clear()
             yield pa.RecordBatch.from_arrays([pa.array([*chunks, bytes(now)] if now else chunks, pa.binary())], ["chunk"])

@@ -125,6 +125,8 @@ def read(spark: SparkSession, uri: Uri, options: ReadOptions) -> DataFrame:
     with open(uri.path, "rb") as f:
         head = f.read(100)
     (shape,) = struct.unpack_from("<i", head, 32)
+    if shape > 10:  # only x and y are read
+        loss.apply_policy("m-on-shp" if shape > 20 else "z-on-shp", "geometry", OnLoss(options.extra.get("on_loss", "warn")))
     _, _, _, fields = dbf_header(base + ".dbf")
     crs = options.src_crs
     if crs is None and os.path.exists(base + ".prj"):

@@ -47,7 +47,7 @@ def quote(name: str) -> str:
 
 
 def coerce(value, kind: str):
-    """SQLite's dynamic values to the declared type; null stays null, what does not parse is null."""
+    """SQLite's dynamic values to the declared type; null stays null, what does not parse is an error."""
     if value is None:
         return None
     try:
@@ -64,9 +64,11 @@ def coerce(value, kind: str):
         if kind == "date":
             return dt.date.fromisoformat(str(value)[:10])
         at = parse_timestamp(str(value))
-        return at.replace(tzinfo=None) if at else None
+        if at is None:
+            raise ValueError
+        return at.replace(tzinfo=None)
     except (ValueError, TypeError):
-        return None
+        raise FormatError(f"{value!r} is no {kind}") from None
 
 
 def _connect(path: str) -> sqlite3.Connection:

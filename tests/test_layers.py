@@ -266,7 +266,10 @@ def test_sqlite_files(spark, tmp_path):
     assert got.columns == ["name", "id", "geometry"] and got.count() == 4
     with pytest.raises(M.SchemaError):
         P.write_layer(layer(spark), str(tmp_path / "n.sqlite"), M.WriteOptions(create_table=M.CreateTable.NEVER))
-    assert [sqlite.coerce(*x) for x in ((1.9, "bigint"), ("12", "int"), ("x", "double"), (3, "string"), (2.0, "string"), (None, "int"), ("2020-01-02", "date"))] == [1, 12, None, "3", "2", None, dt.date(2020, 1, 2)]
+    assert [sqlite.coerce(*x) for x in ((1.9, "bigint"), ("12", "int"), (3, "string"), (2.0, "string"), (None, "int"), ("2020-01-02", "date"))] == [1, 12, "3", "2", None, dt.date(2020, 1, 2)]
+    for bad in (("x", "double"), ("1.5", "bigint"), ("soon", "date"), ("12:00", "timestamp_ntz")):
+        with pytest.raises(M.FormatError):
+            sqlite.coerce(*bad)
 
 
 def test_flatgeobuf_header(spark, tmp_path):
