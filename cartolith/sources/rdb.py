@@ -1,13 +1,17 @@
-"""PostGIS and SQL Server: addresses, SQL texts, COPY BINARY and JDBC wiring.
+"""PostGIS and SQL Server: addresses, SQL texts, COPY BINARY, reading in pages and writing by tasks.
 
-The SQL generators and the encoder are pure and tested; the transport is Spark's JDBC source and needs the
-database's driver on the class path, which this repository does not bring.
+Connections come from transport.py. A write runs the table statements, lets every task fill a stage table of its own
+(COPY BINARY or INSERT, one transaction a task), and moves the stages of the tasks that count into the table in one
+transaction: a task that is lost and runs again leaves no row twice, a failed write none at all. A read asks the
+catalogue for columns, SRID and geometry type, and reads pages of an ordered table, or the whole of an unordered query.
 """
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
 import struct
+import uuid
 from dataclasses import dataclass
 from decimal import Decimal
 from urllib.parse import urlsplit
@@ -16,11 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..functions import codecs as G
-from ..functions.columns import st_as_ewkb, st_from_ewkb
-from ..model import Capabilities, CreateIndex, CreateTable, CrsError, DriverError, FormatError, GeometryMeta, OnLoss, ReadOptions, SchemaError, Uri, WriteOptions, as_geometry, percent_decode, query_options, quoted, require_geometry
+from ..model import Capabilities, CreateIndex, CreateTable, CrsError, DriverError, FormatError, GeometryMeta, OnLoss, ReadOptions, SchemaError, Crs, Uri, WriteOptions, as_geometry, percent_decode, query_options, quoted, require_geometry, type_of
 from ..operators import loss
 from ..operators.filters import validate_query
 from ..operators.text import rows_in_statement
+from . import ranged
+from .transport import CONNECTORS, connected
 
 CAPABILITIES = Capabilities(bulk_load=True, supports_blob=True, supports_decimal=True, max_decimal_precision=38)
 PG_EPOCH_DAYS, PG_EPOCH_US = 10_957, 946_684_800_000_000
@@ -39,11 +44,6 @@ class Address:
     table: str | None
     options: dict
 
-    def jdbc(self) -> str:
-        if self.kind == "pg":
-            return f"jdbc:postgresql://{self.host}:{self.port}/{self.database}"
-        return f"jdbc:sqlserver://{self.host}:{self.port};databaseName={self.database};encrypt=true;trustServerCertificate=true"
-
 
 def split_table(name: str, default: str) -> tuple[str, str]:
     """schema and table at the first dot."""
@@ -191,11 +191,11 @@ def copy_sql(a: Address, columns: list[str], geometry: str) -> str:
     return f"COPY {qualified(a)} ({', '.join(quote(c) for c in [*columns, geometry])}) FROM STDIN (FORMAT BINARY)"
 
 
-def staging_statements(a: Address, schema: T.StructType, srid: int) -> dict[str, str]:
-    """SQL Server's bulk path: a staging table, then INSERT .. SELECT with STGeomFromWKB, for each chunk."""
+def staging_statements(a: Address, schema: T.StructType, srid: int, stage: str | None = None) -> dict[str, str]:
+    """SQL Server's bulk path: a staging table, then INSERT .. SELECT with STGeomFromWKB."""
     geometry, _ = require_geometry(schema)
     attributes = [f for f in schema.fields if f.name != geometry]
-    names, stage = [quote(f.name, "mssql") for f in attributes], quote(f"#{a.table}_staging", "mssql")
+    names, stage = [quote(f.name, "mssql") for f in attributes], quote(stage or f"#{a.table}_staging", "mssql")
     shape, g = a.options.get("geom_type", "geometry"), quote(geometry, "mssql")
     columns = [f"{n} {column_type(f.dataType, 'mssql')} NULL" for n, f in zip(names, attributes)] + [f"{g} varbinary(max) NULL"]
     return {
@@ -277,38 +277,206 @@ def encode_copy(df: DataFrame, srid: int, chunk: int = 65_536) -> DataFrame:
     return df.mapInArrow(run, "chunk binary")
 
 
+def columns_sql(a: Address) -> str:
+    """Name, type, precision and scale of the table's columns."""
+    kind = "udt_name" if a.kind == "pg" else "data_type"
+    where = f"table_schema = {literal(a.schema, a.kind)} AND table_name = {literal(a.table or '', a.kind)}"
+    return f"SELECT column_name, {kind}, numeric_precision, numeric_scale FROM information_schema.columns WHERE {where} ORDER BY ordinal_position"
+
+
+def geometry_statements(a: Address, geometry: str) -> list[str]:
+    """SRID and geometry type: what the catalogue says, then what the first value says."""
+    g, table = quote(geometry, a.kind), qualified(a)
+    if a.kind == "mssql":
+        return [f"SELECT TOP 1 {g}.STSrid, {g}.STGeometryType() FROM {table} WHERE {g} IS NOT NULL"]
+    where = f"f_table_schema = {literal(a.schema)} AND f_table_name = {literal(a.table or '')} AND f_geometry_column = {literal(geometry)}"
+    return [f"SELECT srid, type FROM geometry_columns WHERE {where}", f"SELECT ST_SRID({g}), GeometryType({g}) FROM {table} WHERE {g} IS NOT NULL LIMIT 1"]
+
+
+def page_sql(kind: str, sql: str, order: str, low: int, high: int) -> str:
+    if kind == "pg":
+        return f"{sql} ORDER BY {order} LIMIT {high - low} OFFSET {low}"
+    return f"{sql} ORDER BY {order} OFFSET {low} ROWS FETCH NEXT {high - low} ROWS ONLY"
+
+
+def batches(layer: dict, low: int, high: int):
+    """Rows [low, high) of a layer that Database.read() described, or all rows without an order."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    a = Address(**layer["address"])
+    sql = page_sql(a.kind, layer["sql"], layer["order"], low, high) if layer["order"] else layer["sql"]
+    with connected(layer["connector"], a) as db:
+        rows = db.rows(sql) if high > low else []
+    columns = []
+    for i, (name, kind) in enumerate(layer["columns"]):
+        values = [r[i] for r in rows]
+        if name == layer["geometry"]:
+            values = [None if v is None else bytes(v) if a.kind == "mssql" else G.ewkb_strip(bytes(v))[0] for v in values]
+        elif kind.startswith("decimal"):
+            places = Decimal(1).scaleb(-type_of(kind).scale)
+            values = [None if v is None else Decimal(v).quantize(places) for v in values]
+        columns.append(pa.array(values, to_arrow_type(type_of(kind))))
+    yield pa.RecordBatch.from_arrays(columns, [n for n, _ in layer["columns"]])
+
+
+def _params(kind: str, values: tuple, wkb: bytes | None, srid: int) -> tuple:
+    if kind == "mssql":
+        return (*values, wkb, srid)
+    return (*values, None if wkb is None else G.ewkb_encode(wkb, srid) if srid else wkb)
+
+
 class Database:
     def __init__(self, name: str, scheme: str):
         self.NAME, self.SCHEMES, self.CAPABILITIES, self.kind = name, (scheme,), CAPABILITIES, scheme
 
-    def _reader(self, spark: SparkSession, a: Address, sql: str):
-        r = spark.read.format("jdbc").option("url", a.jdbc()).option("query", sql)
-        return r.option("user", a.user or "").option("password", a.password or "")
+    def _connector(self, extra: dict) -> str:
+        return extra.get("connector", CONNECTORS[self.kind])
+
+    def _described(self, db, a: Address, options: ReadOptions) -> list[tuple[str, str]]:
+        """Names and Spark types of all columns; a geometry's type is geometry."""
+        if options.query:
+            validate_query(options.query)
+            view = dataclasses.replace(a, schema="pg_temp", table="cartolith_query")
+            db.run(f"CREATE TEMP VIEW {quote(view.table)} AS {options.query}")
+            rows = db.rows(columns_sql(view).replace("table_schema = 'pg_temp'", "table_schema LIKE 'pg_temp%'"))
+        else:
+            rows = db.rows(columns_sql(a))
+        if not rows:
+            raise SchemaError(f"no table {a.table}")
+        out = []
+        for name, kind, precision, scale in rows:
+            if kind.lower() in ("geometry", "geography"):
+                out.append((name, "geometry"))
+            else:
+                exact = kind.lower() in ("numeric", "decimal") and precision
+                out.append((name, spark_type(f"{kind}({precision},{scale or 0})" if exact else kind, self.kind)))
+        return out
 
     def read(self, spark: SparkSession, uri: Uri, options: ReadOptions) -> DataFrame:
+        """extra: connector; order_by, an SQL expression that orders rows without ties, for pages of a query or an SQL Server table."""
         a = parse_address(uri.raw)
         if self.kind == "mssql" and (options.where or options.select or options.query):
             raise DriverError(self.NAME, "where, select and query are not supported")
         if options.query and (options.where or options.select):
             raise SchemaError("query excludes where and select")
-        source = f"({validate_query(options.query)}) AS x" if options.query else qualified(a)
-        columns = self._reader(spark, a, f"SELECT * FROM {source} WHERE 1 = 0").load().columns
-        geometry = options.extra.get("geometry") or next((c for c in columns if c.lower() in ("geom", "geometry", "wkb_geometry", "the_geom", "shape")), None)
-        if geometry is None:
-            raise SchemaError(f"no geometry column among {columns}")
-        chosen = list(options.select) if options.select else columns
-        sql = query_sql(options.query, columns, geometry) if options.query else select_sql(a, chosen, geometry, options.where)
-        df, meta = self._reader(spark, a, sql).load(), GeometryMeta("Geometry", options.src_crs)
-        wkb = st_from_ewkb(quoted(geometry)) if self.kind == "pg" else quoted(geometry)
-        return df.select(*[as_geometry(wkb, c, meta) if c == geometry else quoted(c) for c in df.columns])
+        connector, crs, shape = self._connector(options.extra), options.src_crs, "Geometry"
+        with connected(connector, a) as db:
+            columns = self._described(db, a, options)
+            if options.select:
+                known = dict(columns)
+                missing = [c for c in options.select if c not in known]
+                if missing:
+                    raise SchemaError(f"no columns {missing}")
+                columns = [(c, known[c]) for c in options.select]
+            geometry = next((n for n, k in columns if k == "geometry"), None)
+            if geometry is None:
+                raise SchemaError("no geometry column")
+            names = [n for n, _ in columns]
+            sql = query_sql(options.query, names, geometry) if options.query else select_sql(a, names, geometry, options.where)
+            for statement in [] if options.query else geometry_statements(a, geometry):
+                found = db.rows(statement)
+                if found and found[0][0]:
+                    crs = crs or Crs.epsg(int(found[0][0]))
+                    shape = next((x for x in G.GEOMETRY_TYPES if x.upper() == str(found[0][1]).upper()), "Geometry")
+                    break
+            order = options.extra.get("order_by") or ("ctid" if self.kind == "pg" and not options.query else None)
+            (n,) = db.rows(f"SELECT count(*) FROM ({sql}) AS x")[0] if order else (1,)
+        kinds = [(c, "binary" if c == geometry else k) for c, k in columns]
+        layer = {"address": dataclasses.asdict(a), "connector": connector, "sql": sql, "order": order, "columns": kinds, "geometry": geometry}
+        schema = T.StructType([T.StructField(c, type_of(k)) for c, k in kinds])
+        df = ranged.load(spark, "rdb", layer, schema, ranged.ranges(0, n, spark.sparkContext.defaultParallelism))
+        meta = GeometryMeta(shape, crs)
+        return df.select(*[as_geometry(quoted(c), c, meta) if c == geometry else quoted(c) for c in df.columns])
 
     def write(self, df: DataFrame, uri: Uri, options: WriteOptions) -> None:
-        a = parse_address(uri.raw)
-        geometry, meta = require_geometry(df.schema)
+        """extra: connector. insert_mode auto and bulk use COPY or a staging table of WKB, batch uses INSERT."""
+        a, schema = parse_address(uri.raw), df.schema
+        if a.table is None:
+            raise SchemaError("an address to write to needs a table")
+        geometry, meta = require_geometry(schema)
         srid = srid_for(meta, self.kind, options.on_loss, a.options.get("geom_type") == "geography")
-        rows = df.withColumn(geometry, st_as_ewkb(quoted(geometry), srid)) if self.kind == "pg" else df
-        w = rows.write.format("jdbc").option("url", a.jdbc()).option("dbtable", qualified(a)).option("user", a.user or "").option("password", a.password or "")
-        w.option("batchsize", options.batch_size or insert_rows(self.kind, len(df.columns) - 1)).mode("overwrite" if options.overwrite else "append").save()
+        connector, bulk, run_id = self._connector(options.extra), options.insert_mode != "batch", uuid.uuid4().hex[:12]
+        names = [f.name for f in schema.fields if f.name != geometry]
+        columns = ", ".join(quote(c, a.kind) for c in [*names, geometry])
+        with connected(connector, a) as db:
+            exists = bool(db.rows(columns_sql(a)))
+            created = table_statements(a, schema, srid, exists, options)
+            for statement in created:
+                db.run(statement)
+            db.commit()
+        load = _loader(a, schema, srid, connector, bulk, options.batch_size or insert_rows(self.kind, len(names)), run_id)
+        made = df.mapInArrow(load, "stage string, rows long").collect()
+        with connected(connector, a) as db:
+            for stage in [r["stage"] for r in made]:
+                if a.kind == "mssql" and bulk:
+                    db.run(staging_statements(a, schema, srid, stage)["move"])
+                else:
+                    db.run(f"INSERT INTO {qualified(a)} ({columns}) SELECT {columns} FROM {qualified(dataclasses.replace(a, table=stage))}")
+                db.run(f"DROP TABLE {qualified(dataclasses.replace(a, table=stage)) if not (a.kind == 'mssql' and bulk) else quote(stage, a.kind)}")
+            for statement in index_statements(a, geometry, srid, bool(created), options.create_index):
+                db.run(statement)
+            db.commit()
+
+
+def _loader(a: Address, schema: T.StructType, srid: int, connector: str, bulk: bool, batch: int, run_id: str):
+    """What a task does with its rows: fill a stage table of its own in one transaction, and tell its name."""
+    geometry, _ = require_geometry(schema)
+    names, kinds = [f.name for f in schema.fields if f.name != geometry], [f.dataType for f in schema.fields if f.name != geometry]
+
+    def rows_of(batches):
+        for b in batches:
+            values = [b.column(c).to_pylist() for c in names]
+            for i, wkb in enumerate(b.column(geometry).to_pylist()):
+                yield tuple(v[i] for v in values), wkb
+
+    def payload(rows):
+        now = bytearray(COPY_HEADER)
+        for values, wkb in rows:
+            now += copy_row(list(values), kinds, wkb, srid)
+            if len(now) >= 65_536:
+                yield bytes(now)
+                now.clear()
+        yield bytes(now) + COPY_TRAILER
+
+    def run(arriving):
+        import itertools
+
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        task, n = TaskContext.get(), 0
+        stage = f"{a.table}_{run_id}_{task.partitionId()}_{task.taskAttemptId()}"
+        at = dataclasses.replace(a, table=stage)
+
+        def counted():
+            nonlocal n
+            for row in rows_of(arriving):
+                n += 1
+                yield row
+
+        with connected(connector, a) as db:
+            if a.kind == "pg":
+                db.run(f"CREATE TABLE {qualified(at)} (LIKE {qualified(a)})")
+            elif bulk:
+                db.run(staging_statements(a, schema, srid, stage)["create"])
+            else:
+                db.run(f"SELECT TOP 0 * INTO {qualified(at)} FROM {qualified(a)}")
+            if a.kind == "pg" and bulk:
+                db.copy(copy_sql(at, names, geometry), payload(counted()))
+            else:
+                rows = counted()
+                while part := list(itertools.islice(rows, batch)):
+                    if bulk:
+                        marks = ", ".join(f"({', '.join('?' for _ in range(len(names) + 1))})" for _ in part)
+                        sql = f"INSERT INTO {quote(stage, a.kind)} ({', '.join(quote(c, a.kind) for c in [*names, geometry])}) VALUES {marks}"
+                        db.run(sql, tuple(v for values, wkb in part for v in (*values, wkb)))
+                    else:
+                        db.run(insert_sql(at, names, geometry, len(part)), tuple(v for values, wkb in part for v in _params(a.kind, values, wkb, srid)))
+            db.commit()
+        yield pa.RecordBatch.from_arrays([pa.array([stage]), pa.array([n], pa.int64())], ["stage", "rows"])
+
+    return run
 
 
 POSTGIS = Database("postgis", "pg")
