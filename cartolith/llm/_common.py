@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -51,6 +52,13 @@ def release(*tables: DataFrame) -> None:
         _remove(df.sparkSession, df._written_to)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that are done: its cleaner does so when the driver's memory is collected,
+    which may be long after."""
+    gc.collect()  # lets go of the plans that Python holds
+    spark.sparkContext._jvm.System.gc()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
