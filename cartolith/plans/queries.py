@@ -152,7 +152,7 @@ def partitioned_ndjson(spark, d):
     """Lines written by all tasks, read in parallel."""
     path = files.scratch(spark, "orders.ndjson")
     P.write_layer(points(spark, d, "orders", "o_orderkey").drop("o_orderdate"), path, M.WriteOptions(partitioned=True))
-    df = P.read_layer(spark, path)
+    df = P.read_layer(spark, path, M.ReadOptions(extra={"sample": "all"}))
     return df.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
@@ -262,7 +262,7 @@ def geojson_inference(spark, d):
     whole = F.concat(F.lit('{"type":"Feature","geometry":null,"properties":{"whole":'), k, F.lit(',"mixed":'), F.when(F.col("c_custkey") % 2 == 0, k).otherwise(F.concat(k, F.lit(".5"))), F.lit(',"flag":true,"text":'), F.when(F.col("c_custkey") % 2 == 0, k).otherwise(F.lit('"word"')), F.lit(',"nested":{"a":['), k, F.lit("]}}}"))
     path = files.scratch(spark, "mixed.ndjson")
     _table(spark, d, "customer").select(whole).write.text(path)
-    return P.read_layer(spark, path).select("whole", "mixed", "flag", "text", "nested")
+    return P.read_layer(spark, path, M.ReadOptions(extra={"sample": "all"})).select("whole", "mixed", "flag", "text", "nested")
 
 
 def geojson_crs(spark, d):
@@ -349,8 +349,8 @@ QUERIES = {
     "reproject_4326_3857": (reproject_4326_3857, f"SELECT c_custkey, {MX} AS x, {MY} AS y FROM customer"),
     "reproject_roundtrip": (reproject_roundtrip, f"SELECT c_custkey, {X}::DOUBLE AS x, {Y}::DOUBLE AS y FROM customer"),
     "csv_roundtrip": (csv_roundtrip, f"SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_nationkey::VARCHAR AS c_nationkey, c_acctbal, c_mktsegment, {POINT} AS wkt FROM customer"),
-    "ndjson_roundtrip": (_round_trip("ndjson"), CUSTOMER.replace("c_nationkey,", "c_nationkey::BIGINT AS c_nationkey,")),
-    "geojson_roundtrip": (_round_trip("geojson"), CUSTOMER.replace("c_nationkey,", "c_nationkey::BIGINT AS c_nationkey,")),
+    "ndjson_roundtrip": (_round_trip("ndjson", extra={"sample": "all"}), CUSTOMER.replace("c_nationkey,", "c_nationkey::BIGINT AS c_nationkey,")),
+    "geojson_roundtrip": (_round_trip("geojson", extra={"sample": "all"}), CUSTOMER.replace("c_nationkey,", "c_nationkey::BIGINT AS c_nationkey,")),
     "geoparquet_roundtrip": (_round_trip("parquet"), CUSTOMER),
     "gpkg_roundtrip": (_round_trip("gpkg"), CUSTOMER),
     "spatialite_roundtrip": (_round_trip("sqlite"), CUSTOMER),

@@ -7,6 +7,7 @@ lengths of features, so that a range of features is found without decoding those
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 import os
 import struct
 
@@ -207,19 +208,45 @@ def header(path: str) -> tuple[dict, int]:
         code = crs.scalar(1, "i")
         got = Crs((crs.text(0) or "EPSG") if code else None, str(code) if code else None, crs.text(4), "V2" if crs.text(4) else None)
     count = t.scalar(8, "Q")
-    return {"columns": columns, "kind": t.scalar(2, "B"), "count": count, "crs": got}, 12 + n + index_size(count, t.scalar(9, "H", 16))
+    index = index_size(count, t.scalar(9, "H", 16))
+    return {"columns": columns, "kind": t.scalar(2, "B"), "count": count, "crs": got, "index": index}, 12 + n + index
 
 
-def feature_places(path: str, start: int) -> list[int]:
-    """Where each feature begins, from their lengths alone."""
-    out, size = [], os.path.getsize(path)
+NODE = 40  # bytes of an index node: a box and a place
+SPAN = 1 << 20  # bytes of a range at least
+
+
+def feature_spans(path: str, start: int, head: dict, parts: int) -> list[tuple[int, int]]:
+    """Byte ranges of whole features, at most so many and about as long as each other.
+
+    An index ends with one node a feature, which holds its place: only the nodes at the borders are read. Without an
+    index the file is walked by the lengths of its features; no more than the borders is kept.
+    """
+    size = os.path.getsize(path)
+    borders, step = [], max(ranged.ROWS // 8, -(-head["count"] // max(1, parts)))
     with open(path, "rb") as f:
-        at = start
-        while at + 4 <= size:
-            out.append(at)
-            f.seek(at)
-            at += 4 + struct.unpack("<I", f.read(4))[0]
-    return out
+        if head["index"] and head["count"]:
+            for i in range(0, head["count"], step):
+                f.seek(start - NODE * (head["count"] - i) + NODE - 8)
+                borders.append(start + struct.unpack("<Q", f.read(8))[0])
+            sound = borders == sorted(set(borders)) and borders[-1] < size
+            borders = borders if sound else []
+        if not borders:
+            at, apart = start, max(SPAN, (size - start) // max(1, parts))
+            while at + 4 <= size:
+                if not borders or at - borders[-1] >= apart:
+                    borders.append(at)
+                f.seek(at)
+                at += 4 + struct.unpack("<I", f.read(4))[0]
+    return list(zip(borders, [*borders[1:], size])) or [(0, 0)]
+
+
+def features_between(path: str, low: int, high: int):
+    with open(path, "rb") as f:
+        while low + 4 <= high:
+            yield _feature(f, low)
+            f.seek(low)
+            low += 4 + struct.unpack("<I", f.read(4))[0]
 
 
 def properties(data: bytes, columns) -> dict[int, object]:
@@ -241,20 +268,18 @@ def properties(data: bytes, columns) -> dict[int, object]:
 
 def read(spark: SparkSession, uri: Uri, options: ReadOptions) -> DataFrame:
     head, start = header(uri.path)
-    places = feature_places(uri.path, start)
+    spans = feature_spans(uri.path, start, head, spark.sparkContext.defaultParallelism)
     stamps = [i for i, c in enumerate(head["columns"]) if c[1] == "datetime"]
     dates = set()
-    if stamps and len(places) <= SAMPLE:  # dates only if every value of a file that fits one sample is one
+    first = list(itertools.islice(features_between(uri.path, *spans[0]), SAMPLE + 1)) if stamps and len(spans) == 1 else []
+    if 0 < len(first) <= SAMPLE:  # dates only if every value of a file that fits one sample is one
         dates = set(stamps)
-        with open(uri.path, "rb") as f:
-            for at in places:
-                for i, v in properties(_feature(f, at).raw(1), head["columns"]).items():
-                    if i in dates and ("T" in str(v) or " " in str(v)):
-                        dates.discard(i)
+        for feature in first:
+            for i, v in properties(feature.raw(1), head["columns"]).items():
+                if i in dates and ("T" in str(v) or " " in str(v)):
+                    dates.discard(i)
     kinds = ["date" if i in dates else "timestamp" if c[1] == "datetime" else TO_SPARK[c[1]] for i, c in enumerate(head["columns"])]
     schema = T.StructType([T.StructField(c[0], type_of(k), c[2]) for c, k in zip(head["columns"], kinds)] + [T.StructField("geometry", T.BinaryType(), True)])
-    parts = ranged.ranges(0, len(places), spark.sparkContext.defaultParallelism)
-    spans = [(places[a], places[b] if b < len(places) else os.path.getsize(uri.path)) for a, b in parts] if places else [(0, 0)]
     layer = {"path": os.path.abspath(uri.path), "columns": [list(c) for c in head["columns"]], "kinds": kinds, "kind": head["kind"]}
     df = ranged.load(spark, "flatgeobuf", layer, schema, spans)
     meta = GeometryMeta(G.NAMES.get(head["kind"], "Geometry"), options.src_crs or head["crs"])

@@ -77,11 +77,32 @@ def layer_crs(spark: SparkSession, uri: Uri, options: ReadOptions) -> Crs | None
     return crs
 
 
-def infer(samples: list[str]) -> tuple[list[tuple[str, str]], str]:
-    """Names in order of first appearance with their types, and the type of the geometries."""
-    kinds: dict[str, str | None] = {}
-    shapes: set[str] = set()
-    for line in samples:
+def _kind(value) -> str | None:
+    """The column type of a JSON value; null says nothing."""
+    if value is None:
+        return None
+    if isinstance(value, bool):
+        return "boolean"
+    if isinstance(value, int) and -(2**63) <= value < 2**63:
+        return "bigint"
+    return "double" if isinstance(value, (int, float)) else "string"
+
+
+class Inferred:
+    """Names in order of first appearance with their types, and the types of the geometries."""
+
+    def __init__(self):
+        self.kinds: dict[str, str | None] = {}
+        self.shapes: set[str] = set()
+
+    def add(self, key: str, kind: str | None) -> None:
+        old = self.kinds.get(key)
+        if old is None or kind is None:
+            self.kinds[key] = kind if old is None else old
+        elif old != kind:
+            self.kinds[key] = "double" if {old, kind} == {"bigint", "double"} else "string"
+
+    def see(self, line: str) -> None:
         try:
             feature = json.loads(line)
         except ValueError as e:
@@ -90,15 +111,42 @@ def infer(samples: list[str]) -> tuple[list[tuple[str, str]], str]:
         if geometry:
             if geometry.get("type") == "GeometryCollection":
                 raise GeometryError("GeometryCollection is not supported")
-            shapes.add(geometry.get("type"))
+            self.shapes.add(geometry.get("type"))
         for key, value in (feature.get("properties") or {}).items():
-            kind = None if value is None else "boolean" if isinstance(value, bool) else "bigint" if isinstance(value, int) and -(2**63) <= value < 2**63 else "double" if isinstance(value, (int, float)) else "string"
-            old = kinds.get(key)
-            if old is None or kind is None:
-                kinds[key] = kind if old is None else old
-            elif old != kind:
-                kinds[key] = "double" if {old, kind} == {"bigint", "double"} else "string"
-    return [(k, v or "string") for k, v in kinds.items()], shapes.pop() if len(shapes) == 1 else "Geometry"
+            self.add(key, _kind(value))
+
+    def result(self) -> tuple[list[tuple[str, str]], str]:
+        return [(k, v or "string") for k, v in self.kinds.items()], next(iter(self.shapes)) if len(self.shapes) == 1 else "Geometry"
+
+
+def infer(samples: list[str]) -> tuple[list[tuple[str, str]], str]:
+    seen = Inferred()
+    for line in samples:
+        seen.see(line)
+    return seen.result()
+
+
+def infer_all(rows: DataFrame) -> tuple[list[tuple[str, str]], str]:
+    """infer() over all features: a row a partition comes to the driver, with the names that occur in it."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        seen = Inferred()
+        for batch in batches:
+            for line in batch.column(0).to_pylist():
+                seen.see(line)
+        found = json.dumps([list(seen.kinds.items()), sorted(map(str, seen.shapes))])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([found])], ["part", "found"])
+
+    whole = Inferred()
+    for row in sorted(rows.mapInArrow(run, "part int, found string").collect()):
+        kinds, shapes = json.loads(row["found"])
+        whole.shapes.update(shapes)
+        for key, kind in kinds:
+            whole.add(key, kind)
+    return whole.result()
 
 
 def _path(key: str) -> str:
@@ -106,9 +154,11 @@ def _path(key: str) -> str:
 
 
 def read(spark: SparkSession, uri: Uri, options: ReadOptions) -> DataFrame:
+    """Columns as the first SAMPLE features have them: what comes later under another name is left out, and what does not
+    fit its column is null. extra={"sample": "all"} takes the columns from all features, by one more pass over them."""
     rows = features(spark, uri)
-    sample = [r["feature"] for r in rows.limit(int(options.extra.get("sample", SAMPLE))).collect()]
-    columns, shape = infer(sample)
+    sample = options.extra.get("sample", SAMPLE)
+    columns, shape = infer_all(rows) if sample == "all" else infer([r["feature"] for r in rows.limit(int(sample)).collect()])
     meta = GeometryMeta(shape, layer_crs(spark, uri, options))
     fits = {"boolean": "^(true|false)$", "bigint": "^-?[0-9]+$", "double": "^-?[0-9.]"}
 

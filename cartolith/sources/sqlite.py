@@ -151,23 +151,25 @@ class Flavor:
         return df.select(*[as_geometry(quoted(c), c, GeometryMeta(shape, crs)) if c == geometry else quoted(c) for c in df.columns])
 
     def read_query(self, spark: SparkSession, uri: Uri, sql: str) -> DataFrame:
-        """SpatiaLite's query mode: types from the first row, the geometry is its first SpatiaLite blob."""
+        """SpatiaLite's query mode: types from the first row, the geometry is its first SpatiaLite blob; tasks read pages of its rows."""
         from ..operators.filters import validate_query
 
         validate_query(sql)
         with _connect(uri.path) as db:
-            cursor = db.execute(f"SELECT * FROM ({sql}) AS x")
-            names, rows = [c[0] for c in cursor.description], cursor.fetchall()
-        if not rows:
+            cursor = db.execute(f"SELECT * FROM ({sql}) AS x LIMIT 1")
+            names, first = [c[0] for c in cursor.description], cursor.fetchone()
+            (n,) = db.execute(f"SELECT count(*) FROM ({sql}) AS x").fetchone()
+        if not first:
             raise SchemaError("the query has no rows to take types from")
-        geometry = next((i for i, v in enumerate(rows[0]) if isinstance(v, bytes) and _is_blob(v)), None)
+        geometry = next((i for i, v in enumerate(first) if isinstance(v, bytes) and _is_blob(v)), None)
         if geometry is None:
             raise SchemaError("the query has no geometry column")
-        kinds = ["bigint" if isinstance(v, int) else "double" if isinstance(v, float) else "binary" if isinstance(v, bytes) else "string" for v in rows[0]]
-        meta = GeometryMeta(G.wkb_type(G.spatialite_decode(rows[0][geometry])[0]) or "Geometry")
-        order = [i for i in range(len(names)) if i != geometry] + [geometry]
-        data = [tuple(G.spatialite_decode(r[i])[0] if i == geometry and r[i] is not None else coerce(r[i], kinds[i]) for i in order) for r in rows]
-        df = spark.createDataFrame(data, T.StructType([T.StructField(names[i], type_of(kinds[i])) for i in order]))
+        kinds = ["bigint" if isinstance(v, int) else "double" if isinstance(v, float) else "binary" if isinstance(v, bytes) else "string" for v in first]
+        meta = GeometryMeta(G.wkb_type(G.spatialite_decode(first[geometry])[0]) or "Geometry")
+        columns = [(names[i], kinds[i]) for i in range(len(names)) if i != geometry]
+        layer = {"path": os.path.abspath(uri.path), "query": sql, "columns": columns, "geometry": names[geometry], "gpkg": False}
+        schema = T.StructType([T.StructField(c, type_of(k)) for c, k in columns] + [T.StructField(names[geometry], T.BinaryType())])
+        df = ranged.load(spark, "sqlite", layer, schema, ranged.ranges(0, n, spark.sparkContext.defaultParallelism))
         return df.select(*[as_geometry(quoted(c), c, meta) if c == names[geometry] else quoted(c) for c in df.columns])
 
     def srid_for(self, db, crs: Crs | None, policy: OnLoss) -> int:
@@ -290,7 +292,7 @@ def _stored(v):
 
 
 def batches(layer: dict, low: int, high: int):
-    """Rows of rowid in [low, high) as Arrow batches."""
+    """Rows of rowid in [low, high) as Arrow batches; of a query those at these places."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     decode = (lambda b: G.gpkg_decode(b)[0]) if layer["gpkg"] else (lambda b: G.spatialite_decode(b)[0])
@@ -298,7 +300,11 @@ def batches(layer: dict, low: int, high: int):
     names = [c for c, _ in layer["columns"]]
     with _connect(layer["path"]) as db:
         db.text_factory = lambda b: b.decode("utf-8", "replace")
-        cursor = db.execute(f"SELECT {', '.join(map(quote, [*names, layer['geometry']]))} FROM {quote(layer['table'])} WHERE rowid >= ? AND rowid < ? ORDER BY rowid", (low, high))
+        shown = ", ".join(map(quote, [*names, layer["geometry"]]))
+        if "query" in layer:  # the same file gives the rows of a query in the same order every time
+            cursor = db.execute(f"SELECT {shown} FROM ({layer['query']}) AS x LIMIT ? OFFSET ?", (high - low, low))
+        else:
+            cursor = db.execute(f"SELECT {shown} FROM {quote(layer['table'])} WHERE rowid >= ? AND rowid < ? ORDER BY rowid", (low, high))
         while rows := cursor.fetchmany(ranged.ROWS // 4):
             columns = [pa.array([coerce(r[i], k) for r in rows], t) for i, ((_, k), t) in enumerate(zip(layer["columns"], kinds))]
             columns.append(pa.array([None if r[-1] is None else decode(r[-1]) for r in rows], pa.binary()))

@@ -276,7 +276,7 @@ def test_flatgeobuf_header(spark, tmp_path):
     P.write_layer(layer(spark, 3), str(tmp_path / "h.fgb"))
     head, start = flatgeobuf.header(str(tmp_path / "h.fgb"))
     assert [c[:2] for c in head["columns"]] == [("id", "long"), ("name", "string"), ("ratio", "double"), ("flag", "bool"), ("day", "datetime")]
-    assert head["count"] == 3 and head["kind"] == 1 and head["crs"].epsg_code() == 4326 and len(flatgeobuf.feature_places(str(tmp_path / "h.fgb"), start)) == 3
+    assert head["count"] == 3 and head["kind"] == 1 and head["crs"].epsg_code() == 4326 and len(list(flatgeobuf.features_between(str(tmp_path / "h.fgb"), start, os.path.getsize(tmp_path / "h.fgb")))) == 3
     assert flatgeobuf.index_size(0, 16) == 0 and flatgeobuf.index_size(1, 16) == 40 and flatgeobuf.index_size(17, 16) == 40 * (17 + 2 + 1)
 
 
@@ -374,3 +374,33 @@ def test_stream(spark, tmp_path):
         q.stop()
     assert spark.table("stream_out").count() == 7
     assert not os.path.exists(str(tmp_path / "in" / "a.ndjson.tmp"))
+
+
+def test_columns_from_all_features(spark, tmp_path):
+    lines = [json.dumps({"type": "Feature", "geometry": None, "properties": {"a": i}}) for i in range(50)]
+    lines.append(json.dumps({"type": "Feature", "geometry": {"type": "Point", "coordinates": [1, 2]}, "properties": {"late": "x", "a": 1.5}}))
+    (tmp_path / "late.ndjson").write_text("\n".join(lines))
+    read = lambda sample: P.read_layer(spark, str(tmp_path / "late.ndjson"), M.ReadOptions(extra={"sample": sample}))
+    assert [f.simpleString() for f in read(10).schema] == ["a:bigint", "geometry:binary"]
+    assert [f.simpleString() for f in read("all").schema] == ["a:double", "late:string", "geometry:binary"]
+    assert read("all").where("late = 'x' AND a = 1.5").count() == 1
+
+
+def test_flatgeobuf_spans_by_index_and_by_walk(tmp_path):
+    features = [struct.pack("<I", n) + bytes(n) for n in (30, 50, 20, 90, 10)]
+    places, at = [], 0
+    for f in features:
+        places.append(at)
+        at += len(f)
+    nodes = b"".join(struct.pack("<4dQ", 0, 0, 0, 0, p) for p in [0, *places])  # a root before the leaves
+    path = tmp_path / "x.fgb"
+    path.write_bytes(b"head" + nodes + b"".join(features))
+    start = 4 + len(nodes)
+    flatgeobuf_rows, flatgeobuf.ranged.ROWS = flatgeobuf.ranged.ROWS, 8
+    try:
+        spans = flatgeobuf.feature_spans(str(path), start, {"count": 5, "index": len(nodes)}, 3)
+    finally:
+        flatgeobuf.ranged.ROWS = flatgeobuf_rows
+    size = path.stat().st_size
+    assert spans == [(start, start + places[2]), (start + places[2], start + places[4]), (start + places[4], size)]
+    assert flatgeobuf.feature_spans(str(path), start, {"count": 5, "index": 0}, 3) == [(start, size)]
