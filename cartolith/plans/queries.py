@@ -235,6 +235,13 @@ def copy_binary_rows(spark, d):
     return rdb.encode_copy(df, 4326, chunk=1).select(F.lower(F.hex("chunk")).alias("row_hex"))
 
 
+def reproject_utm(spark, d):
+    """Points within six degrees of a meridian, in UTM zone 31 north, to the centimetre."""
+    k = F.col("c_custkey")
+    df = M.with_geometry(_table(spark, d, "customer"), "geometry", C.st_point((k % 13 - 3).cast("double"), (k % 85).cast("double")), M.GeometryMeta("Point", M.Crs.epsg(4326)))
+    return _rounded(reproject.reproject(df, M.Crs.epsg(32631)), "c_custkey")
+
+
 def convert_mesh(spark, d):
     """A layer through six formats one after another."""
     rows = points(spark, d).select("c_custkey", "c_name", "c_acctbal", "geometry")
@@ -330,6 +337,14 @@ def _double_hex(x: str) -> str:
 
 COPY_ROWS = f"""SELECT '0004' || '00000008' || lpad(lower(to_hex(c_custkey)), 16, '0') || lpad(lower(to_hex(strlen(c_name))), 8, '0') || lower(hex(encode(c_name)))
   || '00000004' || lpad(lower(to_hex(c_nationkey)), 8, '0') || '00000019' || '0101000020e6100000' || {_double_hex(X)} || {_double_hex(Y)} AS row_hex FROM customer"""
+_TERMS = "[n/2 - 2*n^2/3 + 5*n^3/16 + 41*n^4/180, 13*n^2/48 - 3*n^3/5 + 557*n^4/1440, 61*n^3/240 - 103*n^4/140, 49561*n^4/161280]"
+UTM = f"""
+WITH w AS (SELECT 1 / 298.257223563::DOUBLE AS f), e AS (SELECT f / (2 - f) AS n, sqrt(f * (2 - f)) AS e FROM w), c AS (SELECT *, 6378137 / (1 + n) * (1 + n^2/4 + n^4/64) AS a, {_TERMS} AS s FROM e),
+p AS (SELECT c_custkey, radians(c_custkey % 13 - 3 - 3) AS lon, sin(radians(c_custkey % 85)) AS z FROM customer),
+t AS (SELECT *, sinh(atanh(z) - e * atanh(e * z)) AS t FROM p, c),
+g AS (SELECT *, atan2(t, cos(lon)) AS xi, asinh(sin(lon) / sqrt(t^2 + cos(lon)^2)) AS eta FROM t)
+SELECT c_custkey, round(500000 + 0.9996 * a * (eta + list_sum([s[j] * cos(2*j*xi) * sinh(2*j*eta) FOR j IN range(1, 5)])), 2) AS x,
+       round(0.9996 * a * (xi + list_sum([s[j] * sin(2*j*xi) * cosh(2*j*eta) FOR j IN range(1, 5)])), 2) AS y FROM g"""
 CUSTOMER = f"SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, {POINT} AS wkt FROM customer"
 QUERIES = {
     "reproject_lineitem": (reproject_lineitem, "SELECT l_returnflag, count(*) AS n, round(min(6378137 * radians(l_orderkey % 360 - 180)), 2) AS min_x, round(max(6378137 * ln(tan(pi() / 4 + radians(l_orderkey % 170 - 85) / 2))), 2) AS max_y FROM lineitem GROUP BY 1"),
@@ -371,6 +386,7 @@ QUERIES = {
     "sanitize_table_name": (sanitize_table_name, "SELECT c_custkey, '_' || c_custkey || '_' || regexp_replace(c_name, '[^A-Za-z0-9_]', '_', 'g') AS name FROM customer"),
     "sqlite_coercion": (sqlite_coercion, "SELECT p_partkey, trunc(p_retailprice)::BIGINT AS whole FROM part"),
     "copy_binary_rows": (copy_binary_rows, COPY_ROWS),
+    "reproject_utm": (reproject_utm, UTM),
     "convert_mesh": (convert_mesh, f"SELECT c_custkey, c_name, c_acctbal, {POINT} AS wkt FROM customer"),
     "convert_reprojected": (convert_reprojected, f"SELECT c_custkey, {MX} AS x, {MY} AS y FROM customer WHERE c_custkey % 2 = 0"),
     "layer_where_select": (layer_where_select, f"SELECT c_custkey, {POINT} AS wkt FROM customer WHERE c_nationkey < 5"),

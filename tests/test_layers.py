@@ -404,3 +404,32 @@ def test_flatgeobuf_spans_by_index_and_by_walk(tmp_path):
     size = path.stat().st_size
     assert spans == [(start, start + places[2]), (start + places[2], start + places[4]), (start + places[4], size)]
     assert flatgeobuf.feature_spans(str(path), start, {"count": 5, "index": 0}, 3) == [(start, size)]
+
+
+def test_utm():
+    import numpy as np
+
+    lat = np.linspace(0, 84, 15)
+    x, y = reproject.to_utm(np.full(15, 3.0), lat, 31, False)
+    e2 = reproject._E2
+    for top, got in zip(lat, y):  # the length of the meridian, summed up
+        phi = np.radians(np.linspace(0, top, 20_001))
+        radius = 6378137 * (1 - e2) / (1 - e2 * np.sin(phi) ** 2) ** 1.5
+        assert abs(0.9996 * np.trapezoid(radius, phi) - got) < 1e-3
+    assert np.allclose(x, 500_000)
+    rng = np.random.default_rng(1)
+    lon, lat = rng.uniform(-17, 23, 500), rng.uniform(-84, 84, 500)
+    for south in (False, True):
+        back = reproject.from_utm(*reproject.to_utm(lon, lat, 31, south), 31, south)
+        assert np.abs(back[0] - lon).max() < 1e-7 and np.abs(back[1] - lat).max() < 1e-7
+    h = 1e-5  # angles are kept: both partial derivatives are alike, turned by a right angle
+    east = np.subtract(reproject.to_utm(lon + h, lat, 31, False), reproject.to_utm(lon - h, lat, 31, False))
+    north = np.subtract(reproject.to_utm(lon, lat + h, 31, False), reproject.to_utm(lon, lat - h, 31, False))
+    s = np.sin(np.radians(lat))
+    ratio = (1 - e2) / (1 - e2 * s * s) / np.cos(np.radians(lat))  # of lengths of a degree north and east
+    assert np.allclose(north[0], -east[1] * ratio, atol=1e-4) and np.allclose(north[1], east[0] * ratio, rtol=1e-5, atol=1e-4)
+    there = reproject.transform_for(M.Crs.epsg(32733), M.Crs.epsg(3857))(*reproject.to_utm(np.array([15.5]), np.array([-20.0]), 33, True))
+    assert np.allclose(there, reproject.forward(np.array([15.5]), np.array([-20.0])), atol=1e-3)
+    assert np.isnan(reproject.to_utm(np.array([60.0]), np.array([0.0]), 31, False)[0][0])
+    with pytest.raises(M.CrsError):
+        reproject.transform_for(M.Crs.epsg(4326), M.Crs.epsg(32661))
