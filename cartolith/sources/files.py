@@ -45,8 +45,11 @@ def write_single(df: DataFrame, path: str, write, suffixes: tuple = ("",)) -> in
 def scratch(spark, name: str) -> str:
     """A path for an intermediate file that executors and driver share: in spark.checkpoint.dir where that is set."""
     import tempfile
+    from urllib.parse import urlsplit
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    folder = f"{base.removeprefix('file://')}/cartolith-layers/{uuid.uuid4().hex}"
+    base = urlsplit(spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir())
+    if base.scheme not in ("", "file"):
+        raise IoError(f"{base.geturl()} is no folder that Python can write to; layers of single files need one")
+    folder = f"{base.path}/cartolith-layers/{uuid.uuid4().hex}"
     os.makedirs(folder, exist_ok=True)
     return f"{folder}/{name}"

@@ -433,3 +433,16 @@ def test_utm():
     assert np.isnan(reproject.to_utm(np.array([60.0]), np.array([0.0]), 31, False)[0][0])
     with pytest.raises(M.CrsError):
         reproject.transform_for(M.Crs.epsg(4326), M.Crs.epsg(32661))
+
+
+def test_scratch_folders(spark, tmp_path):
+    from cartolith.sources import files
+
+    class Session:
+        def __init__(self, path):
+            self.conf = {"spark.checkpoint.dir": path}
+
+    for path in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}"):
+        assert files.scratch(Session(path), "x").startswith(f"{tmp_path}/cartolith-layers/")
+    with pytest.raises(M.IoError):
+        files.scratch(Session("hdfs://host/folder"), "x")
