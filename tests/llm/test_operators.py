@@ -332,6 +332,34 @@ def test_line_dedup_links_and_classes(spark, tmp_path):
         assert got[i].class_id == (texts.index(t) if t else i)
 
 
+def test_line_dedup_counts_links_of_large_groups_without_their_pairs(spark, monkeypatch):
+    rng = random.Random(7)
+    lines = [f"page {i} of the long book that we all read today" for i in range(150)]
+    for size, far in ((36, 4), (70, 9)):  # variants up to and beyond what surely matches
+        base = [f"{size}w{i}" for i in range(size)]
+        for i in range(200):
+            words = list(base)
+            for k in range(rng.choice([0, 1, 1, 1, 2, 2, 3, far])):
+                words[rng.randrange(len(words))] = f"v{i}x{k}"
+            lines.append(" ".join(words + [f"more{i}"] * (i % 5 == 0)))
+    sets = [frozenset(x.split()) for x in lines]
+    classes = set(sets)
+    links = {s: [t for t in classes if s != t and 100 * len(s & t) >= 80 * len(s | t)] for s in classes}
+    made, write = {}, line_dedup.C.materialise
+
+    def count(df, tag):
+        out = write(df, tag)
+        made[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup.C, "materialise", count)
+    got = {r.doc_id: r for r in line_dedup.annotate(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert [got[i].n_links for i in range(len(lines))] == [len(links[s]) for s in sets]
+    assert [bool(got[i].removed) for i in range(len(lines))] == [any(100 * len(s & t) >= 80 * len(s | t) for t in sets[:i]) for i, s in enumerate(sets)]
+    every = sum(map(len, links.values())) // 2
+    assert every > 30_000 and made["pairs"] + made["matching"] < every / 5
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><a href=/>Home</a></header>
 <nav><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></nav><div class="cookie-notice">We use cookies.</div>
 <article><h1>A &amp; B</h1><p>First  paragraph,<br>of <b>some</b> length.<p>Second&nbsp;one.<div class="ad">Buy now.</div><p>Third.</article>
