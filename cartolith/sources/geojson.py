@@ -1,4 +1,4 @@
-"""GeoJSON: one FeatureCollection, or a feature a line. Lines are read and written in parallel."""
+"""GeoJSON: one FeatureCollection, or a feature a line. Both are read in parallel; lines are written in parallel too."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions.columns import st_as_geojson, st_from_geojson
 from ..model import Capabilities, Crs, CrsError, FormatError, GeometryError, GeometryMeta, ReadOptions, Uri, WriteOptions, as_geometry, quoted, require_geometry
 from ..operators import crs_texts, loss, reproject
-from . import files
+from . import collection, files
 
 NAME, SCHEMES = "geojson", ("geojson", "geojsonl", "ndjson", "jsonl")
 CAPABILITIES = Capabilities()
@@ -28,46 +28,25 @@ def features(spark: SparkSession, uri: Uri) -> DataFrame:
     if by_line(uri):
         line = F.trim(F.regexp_replace("value", "^﻿", ""))
         return spark.read.text(uri.path).select(line.alias("feature")).where("feature != '' AND NOT feature LIKE '#%'")
-    whole = spark.read.text(uri.path, wholetext=True).select(F.regexp_replace("value", "^﻿", "").alias("value"))
+    return collection.read(spark, uri.path)[0]
 
-    # from_json would not keep each feature's own text, nor tell broken documents from empty ones
-    def split(batches):
-        import pyarrow as pa
 
-        for batch in batches:
-            out = []
-            for value in batch.column(0).to_pylist():
-                try:
-                    document = json.loads(value)
-                except ValueError as e:
-                    raise FormatError(f"not JSON: {e}") from None
-                if document.get("type") == "Feature":
-                    out.append(value)
-                elif isinstance(document.get("features"), list):
-                    out += [json.dumps(f, ensure_ascii=False) for f in document["features"]]
-                else:
-                    raise FormatError("no FeatureCollection")
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["feature"])
-
-    return whole.mapInArrow(split, "feature string")
-
-
-def layer_crs(spark: SparkSession, uri: Uri, options: ReadOptions) -> Crs | None:
+def layer_crs(uri: Uri, options: ReadOptions, head: str = "") -> Crs | None:
     """src_crs, else the `crs` member in the head of a collection, else EPSG:4326."""
     if options.src_crs:
         return options.src_crs
     if by_line(uri):
         return Crs.epsg(4326)
-    head = spark.read.text(uri.path, wholetext=True).select(F.substring("value", 1, HEAD).alias("v")).first()
     import re
 
-    m = re.search(r'"crs"\s*:\s*(null|\{)', head["v"].split('"features"')[0] if head else "")
+    head = head[:HEAD]
+    m = re.search(r'"crs"\s*:\s*(null|\{)', head.split('"features"')[0])
     if not m:
         return Crs.epsg(4326)
     if m[1] == "null":
         return None
     try:
-        member, _ = json.JSONDecoder().raw_decode(head["v"][m.end() - 1 :])
+        member, _ = json.JSONDecoder().raw_decode(head[m.end() - 1 :])
         name = member["properties"]["name"]
     except (ValueError, KeyError, TypeError):
         raise CrsError("bad crs member") from None
@@ -156,10 +135,10 @@ def _path(key: str) -> str:
 def read(spark: SparkSession, uri: Uri, options: ReadOptions) -> DataFrame:
     """Columns as the first SAMPLE features have them: what comes later under another name is left out, and what does not
     fit its column is null. extra={"sample": "all"} takes the columns from all features, by one more pass over them."""
-    rows = features(spark, uri)
+    rows, head = (features(spark, uri), "") if by_line(uri) else collection.read(spark, uri.path)
     sample = options.extra.get("sample", SAMPLE)
     columns, shape = infer_all(rows) if sample == "all" else infer([r["feature"] for r in rows.limit(int(sample)).collect()])
-    meta = GeometryMeta(shape, layer_crs(spark, uri, options))
+    meta = GeometryMeta(shape, layer_crs(uri, options, head))
     fits = {"boolean": "^(true|false)$", "bigint": "^-?[0-9]+$", "double": "^-?[0-9.]"}
 
     def value(key: str, kind: str):

@@ -446,3 +446,45 @@ def test_scratch_folders(spark, tmp_path):
         assert files.scratch(Session(path), "x").startswith(f"{tmp_path}/cartolith-layers/")
     with pytest.raises(M.IoError):
         files.scratch(Session("hdfs://host/folder"), "x")
+
+
+def _documents():
+    feature = lambda i, t: {"type": "Feature", "geometry": {"type": "Point", "coordinates": [i, 1.5]}, "properties": {"k": i, "t": t, "o": {"a": [{"b": "]}"}, []]}}}
+    some = [feature(i, ['plain', 'a}b', '{"features":[', '\\', '\\"}', "é漢}", ""][i % 7] * (1 + i % 3)) for i in range(200)]
+    foreign = {"features": [{"no": "feature"}] * 20, "x": "}]" * 50}
+    own = {"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "urn:ogc:def:crs:EPSG::4326"}}}
+    compact, spaced = (json.dumps(own | {"features": some}, separators=(",", ":"), ensure_ascii=False), json.dumps(own | {"features": some}, indent=2))
+    yield compact, some
+    yield "﻿" + spaced + "\n", some
+    yield json.dumps({"a": foreign, "features": some, "b": foreign, "type": "FeatureCollection"}) + " \n", some
+    yield json.dumps({"type": "FeatureCollection", "features": []}), []
+    yield json.dumps(some[2] | {"features": some[:3]}, indent=1), None
+    yield json.dumps(some[3]), None
+    for bad in (compact[:-1], compact[: len(compact) // 2], compact.replace("},{", "}{", 1), compact.replace("]}", ",]}")[-900:], compact + "}", compact + " x", '{"type":"FeatureCollection"}', json.dumps(some), "", " ", compact[:-2] + ",]}", compact[:-2] + "}]", compact[:-2]):
+        yield bad, M.FormatError
+
+
+def test_collections_are_read_in_splits(spark, tmp_path):
+    """Wherever splits begin: inside texts, in members of other names, within features; and no whole document in a row."""
+    from cartolith.sources import geojson
+
+    whole = lambda d, s: [s.removeprefix("﻿")] if d is None else [json.dumps(f, ensure_ascii=False) for f in d]
+    try:
+        for size in ("1700", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1" if size == "1700" else "4m")
+            for i, (text, features) in enumerate(_documents()):
+                path = tmp_path / f"{size}-{i}.geojson"
+                path.write_text(text, encoding="utf-8")
+                read = lambda: geojson.features(spark, M.parse_uri(str(path)))
+                if features is M.FormatError:
+                    with pytest.raises(Exception, match="not JSON|no FeatureCollection|no features|no comma"):
+                        read().collect()
+                    continue
+                df = read()
+                assert [r["feature"] for r in df.collect()] == whole(features, text), (size, i)
+                if size == "1700" and features and len(features) > 9:
+                    assert df.rdd.getNumPartitions() > 3
+    finally:
+        for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+            spark.conf.unset(key)
