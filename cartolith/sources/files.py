@@ -7,6 +7,7 @@ that folder. Directory outputs (partitioned=True) keep one file for each partiti
 
 from __future__ import annotations
 
+import glob
 import os
 import shutil
 import uuid
@@ -25,17 +26,48 @@ def refuse_existing(path: str, overwrite: bool, also: tuple = ()) -> None:
 
 
 def write_single(df: DataFrame, path: str, write, suffixes: tuple = ("",)) -> int:
-    """write(batches, temporary path) runs in one task and returns the rows; all files path + suffix are renamed."""
+    """write(batches, temporary path) runs in one task and returns the rows; all files path + suffix are renamed.
 
-    def run(batches):
+    What the rows are made of runs in as many tasks as df has: each leaves its rows in an Arrow file next to the path,
+    and the one task reads those in the order of the partitions.
+    """
+    stem = f"{path}.{uuid.uuid4().hex}"
+
+    def spill(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        temporary = f"{path}.{uuid.uuid4().hex}.tmp"
-        rows = write(batches, temporary)
-        yield pa.RecordBatch.from_arrays([pa.array([temporary]), pa.array([rows], pa.int64())], ["file", "rows"])
+        part, writer = f"{stem}.{uuid.uuid4().hex}.part", None
+        for batch in batches:
+            writer = writer or pa.ipc.new_stream(part, batch.schema)
+            writer.write_batch(batch)
+        if writer:
+            writer.close()
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([part])], ["id", "file"])
 
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    (made,) = df.coalesce(1).mapInArrow(run, "file string, rows long").collect() or [None]
+    try:
+        parts = [r["file"] for r in sorted(df.mapInArrow(spill, "id long, file string").collect())]
+
+        def run(batches):
+            import pyarrow as pa
+
+            for _ in batches:
+                pass
+
+            def rows():
+                for part in parts:
+                    with pa.OSFile(part) as f:
+                        yield from pa.ipc.open_stream(f)
+
+            temporary = f"{stem}.{uuid.uuid4().hex}.tmp"
+            n = write(rows(), temporary)
+            yield pa.RecordBatch.from_arrays([pa.array([temporary]), pa.array([n], pa.int64())], ["file", "rows"])
+
+        (made,) = df.sparkSession.range(0, 1, 1, 1).mapInArrow(run, "file string, rows long").collect()
+    finally:
+        for part in glob.glob(glob.escape(stem) + ".*.part"):
+            os.remove(part)
     for suffix in suffixes:
         if os.path.exists(made["file"] + suffix):
             os.replace(made["file"] + suffix, path + suffix)

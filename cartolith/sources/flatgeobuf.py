@@ -347,6 +347,21 @@ def _bytes(i: int, v, kind: str) -> bytes:
     return struct.pack("<HI", i, len(data)) + data
 
 
+def _whole(geom: tuple) -> bytes:
+    """A feature up to the length of its properties, which come last."""
+    return Builder().finish([(0, "table", geometry_fields(geom)), (1, "*B", b"")])[:-4]
+
+
+POINT, MARK = b"\x01\x01\x00\x00\x00", (1.2345678e-9, 8.7654321e-9)
+BEFORE, AFTER = _whole((1, MARK)).split(struct.pack("<dd", *MARK))
+
+
+def _start(wkb: bytes) -> bytes:
+    if len(wkb) == 21 and wkb[:5] == POINT:  # all points have the same layout
+        return BEFORE + wkb[5:] + AFTER
+    return _whole(G.wkb_decode(wkb))
+
+
 def write(df: DataFrame, uri: Uri, options: WriteOptions) -> None:
     geometry, meta = require_geometry(df.schema)
     files.refuse_existing(uri.path, options.overwrite)
@@ -360,18 +375,26 @@ def write(df: DataFrame, uri: Uri, options: WriteOptions) -> None:
     crs_fields = crs and [(0, "text", crs.authority), (1, "i", int(crs.code) if crs.code and crs.code.isdigit() else None), (4, "text", crs.wkt if not crs.authority else None)]
     kind = G.CODES.get(meta.geometry_type, 0)
 
+    def encode(batches):
+        """The bytes of a batch's features and their number."""
+        for batch in batches:
+            values = [batch.column(c[0]).to_pylist() for c in columns]
+            out = []
+            for i, wkb in enumerate(batch.column(geometry).to_pylist()):
+                if wkb is None:
+                    raise GeometryError("a FlatGeobuf feature needs a geometry")
+                own = b"".join([_bytes(k, v[i], c[1]) for k, (v, c) in enumerate(zip(values, columns))])
+                start = _start(wkb)
+                out += (struct.pack("<I", len(start) + 4 + len(own)), start, struct.pack("<I", len(own)), own)
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary()), pa.array([batch.num_rows], pa.int64())], ["body", "n"])
+
     def put(batches, path):
         n = 0
         with open(path + ".body", "wb") as body:
             for batch in batches:
-                values = [batch.column(c[0]).to_pylist() for c in columns]
-                for i, wkb in enumerate(batch.column(geometry).to_pylist()):
-                    if wkb is None:
-                        raise GeometryError("a FlatGeobuf feature needs a geometry")
-                    own = b"".join(_bytes(k, v[i], c[1]) for k, (v, c) in enumerate(zip(values, columns)))
-                    data = Builder().finish([(0, "table", geometry_fields(G.wkb_decode(wkb))), (1, "*B", own)])
-                    body.write(struct.pack("<I", len(data)) + data)
-                    n += 1
+                for data, rows in zip(batch.column("body").to_pylist(), batch.column("n").to_pylist()):
+                    body.write(data)
+                    n += rows
         head = Builder().finish([(0, "text", "layer"), (2, "B", kind), (7, "tables", described), (8, "Q", n), (9, "H", 0), (10, "table", crs_fields)])
         with open(path, "wb") as out, open(path + ".body", "rb") as body:
             out.write(MAGIC + struct.pack("<I", len(head)) + head)
@@ -380,4 +403,4 @@ def write(df: DataFrame, uri: Uri, options: WriteOptions) -> None:
         os.remove(path + ".body")
         return n
 
-    files.write_single(df, uri.path, put)
+    files.write_single(df.mapInArrow(encode, "body binary, n long"), uri.path, put)

@@ -12,11 +12,14 @@ import re
 import sqlite3
 from decimal import Decimal
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import codecs as G
+from ..functions.columns import st_as_gpkg, st_as_spatialite, st_bbox
 from ..model import Capabilities, CreateIndex, CreateTable, Crs, CrsError, DriverError, FormatError, GeometryMeta, OnLoss, ReadOptions, SchemaError, Uri, WriteOptions, as_geometry, query_options, quoted, require_geometry, type_of
 from ..operators import crs_texts, loss
 from ..operators.text import parse_timestamp, table_name
@@ -172,11 +175,16 @@ class Flavor:
         df = ranged.load(spark, "sqlite", layer, schema, ranged.ranges(0, n, spark.sparkContext.defaultParallelism))
         return df.select(*[as_geometry(quoted(c), c, meta) if c == names[geometry] else quoted(c) for c in df.columns])
 
+    def srid_number(self, crs: Crs | None) -> int:
+        """What srid_for() gives, without a file."""
+        code = crs.epsg_code() if crs else None
+        if code is not None and not -(2**31) <= code < 2**31:
+            raise CrsError(f"EPSG:{code} is out of range")
+        return code if code is not None else OWN_SRS if self.gpkg and crs is not None and crs.wkt else 0
+
     def srid_for(self, db, crs: Crs | None, policy: OnLoss) -> int:
         code = crs.epsg_code() if crs else None
         if code is not None:
-            if not -(2**31) <= code < 2**31:
-                raise CrsError(f"EPSG:{code} is out of range")
             wkt = (crs.wkt if crs.wkt_flavor == "V1" else None) or crs_texts.WKT1.get(code, "undefined")
             if self.gpkg:
                 db.execute("INSERT OR IGNORE INTO gpkg_spatial_ref_sys VALUES (?, ?, 'EPSG', ?, ?, NULL)", (f"EPSG:{code}", code, code, wkt))
@@ -210,6 +218,11 @@ class Flavor:
         if options.create_table == CreateTable.NEVER and not exists:
             raise SchemaError(f"table {table} does not exist")
         flavor, policy, create = self, options.on_loss, options.create_table
+        plain = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.StringType, T.BinaryType)
+        odd = {i for i, c in enumerate(names) if not isinstance(kinds[c], plain)}
+        shape, number = quoted(geometry), self.srid_number(meta.crs)
+        blob = [st_as_gpkg(shape, number), st_bbox(shape)] if self.gpkg else [st_as_spatialite(shape, F.lit(number))]
+        rows = df.select(*[quoted(c) for c in names], *[b.alias(f"_{i}") for i, b in enumerate(blob)])  # shapes are made by all tasks
 
         def put(batches, path):
             import shutil
@@ -226,15 +239,12 @@ class Flavor:
             if not exists or create == CreateTable.ALWAYS:
                 flavor.create(db, table, declared, geometry, meta.geometry_type, srid)
             sql = f"INSERT INTO {quote(table)} ({', '.join(map(quote, [*names, geometry]))}) VALUES ({', '.join('?' * (len(names) + 1))})"
-            blob = (lambda b: G.gpkg_encode(b, srid)) if flavor.gpkg else (lambda b: G.spatialite_encode(b, srid))
             box, n = None, 0
             for batch in batches:
-                columns = [[_stored(v) for v in batch.column(c).to_pylist()] for c in names]
-                shapes = batch.column(geometry).to_pylist()
-                for b in shapes:
-                    if flavor.gpkg and b is not None and (own := G.bbox(G.wkb_decode(b))):
-                        box = own if box is None else (*map(min, box[:2], own[:2]), *map(max, box[2:], own[2:]))
-                db.executemany(sql, zip(*columns, [None if b is None else blob(b) for b in shapes]))
+                columns = [[_stored(v) for v in c.to_pylist()] if i in odd else c.to_pylist() for i, c in enumerate(batch.columns[: len(names) + 1])]
+                if flavor.gpkg and (own := _extent(batch.column(len(names) + 1))):
+                    box = own if box is None else (*map(min, box[:2], own[:2]), *map(max, box[2:], own[2:]))
+                db.executemany(sql, zip(*columns))
                 n += batch.num_rows
             if flavor.gpkg and box:
                 db.execute("UPDATE gpkg_contents SET min_x = ?, min_y = ?, max_x = ?, max_y = ? WHERE table_name = ?", (*box, table))
@@ -242,7 +252,7 @@ class Flavor:
             db.close()
             return n
 
-        files.write_single(df, uri.path, put)
+        files.write_single(rows, uri.path, put)
 
     def prepare(self, db) -> None:
         if self.gpkg:
@@ -279,6 +289,13 @@ def _is_blob(value: bytes) -> bool:
         return False
 
 
+def _extent(boxes: pa.StructArray) -> tuple | None:
+    """Of boxes, some of them null or not finite."""
+    sides = [boxes.field(i).to_numpy(zero_copy_only=False).astype(float) for i in range(4)]
+    known = np.isfinite(sides).all(axis=0)
+    return tuple(float(f(s[known])) for f, s in zip((np.min, np.min, np.max, np.max), sides)) if known.any() else None
+
+
 def _stored(v):
     if isinstance(v, bool):
         return int(v)

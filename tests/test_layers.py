@@ -9,6 +9,8 @@ import sqlite3
 import struct
 from decimal import Decimal
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -488,3 +490,22 @@ def test_collections_are_read_in_splits(spark, tmp_path):
     finally:
         for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
             spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("extension", ["geojson", "gpkg", "sqlite", "fgb", "parquet", "csv"])
+def test_single_files_are_made_of_rows_of_all_tasks(spark, tmp_path, extension):
+    """Rows are made where they are, not in the one task that writes; they keep their order, and nothing is left beside the file."""
+    from pyspark import TaskContext
+
+    task = F.udf(lambda k: TaskContext.get().partitionId(), "int")
+    k = F.col("id")
+    df = spark.range(0, 40, 1, 4).select(k.alias("k"), task("id").alias("task"), C.st_point((k - 20).cast("double"), k.cast("double")).alias("geometry"))
+    df = M.with_geometry(df, "geometry", F.col("geometry"), M.GeometryMeta("Point", M.Crs.epsg(4326)))
+    path = str(tmp_path / f"a.{extension}")
+    P.write_layer(df, path)
+    assert os.listdir(tmp_path) == [f"a.{extension}"]
+    got = [(int(r["k"]), int(r["task"])) for r in P.read_layer(spark, path).collect()]
+    assert got == [(i, i // 10) for i in range(40)]
+    if extension == "gpkg":
+        with sqlite3.connect(path) as db:
+            assert db.execute("SELECT min_x, min_y, max_x, max_y FROM gpkg_contents").fetchall() == [(-20, 0, 19, 39)]
