@@ -34,6 +34,25 @@ def points_of(values: pd.Series) -> tuple[np.ndarray, np.ndarray] | None:
     return np.ascontiguousarray(raw[:, 5:]).view("<f8"), valid
 
 
+def rings_of(values: pd.Series) -> tuple[np.ndarray, np.ndarray] | None:
+    """Coordinates (n x 2k) and validity, if all values are null or little-endian polygons of one ring, all with k corners."""
+    valid = values.notna().to_numpy()
+    data, n = b"".join(values[valid]), int(valid.sum())
+    size = len(data) // n if n else 0
+    if size < 29 or (size - 13) % 16 or len(data) != n * size:
+        return None
+    raw = np.frombuffer(data, np.uint8).reshape(n, size)
+    head = np.frombuffer(b"\x01\x03\x00\x00\x00\x01\x00\x00\x00" + ((size - 13) // 16).to_bytes(4, "little"), np.uint8)
+    return (np.ascontiguousarray(raw[:, 13:]).view("<f8"), valid) if (raw[:, :13] == head).all() else None
+
+
+def rings_text(flat: np.ndarray):
+    bits, at = np.unique(flat.view(np.int64), return_inverse=True)  # bits: -0 is not 0
+    numbers = np.array([G.number(x) for x in bits.view(float).tolist()], object)
+    for row in numbers[at.reshape(flat.shape)].tolist():
+        yield "POLYGON((" + ",".join([f"{x} {y}" for x, y in zip(row[0::2], row[1::2])]) + "))"
+
+
 def points_wkb(x: np.ndarray, y: np.ndarray) -> list[bytes]:
     raw = np.empty((len(x), 21), np.uint8)
     raw[:, :5] = np.frombuffer(POINT, np.uint8)
@@ -85,7 +104,8 @@ def st_xy(wkb: pd.Series) -> pd.DataFrame:
 def st_as_text(wkb: pd.Series) -> pd.Series:
     fast = points_of(wkb)
     if fast is None:
-        return each(lambda b: G.wkt_encode(G.wkb_decode(b)))(wkb)
+        alike = rings_of(wkb)
+        return each(lambda b: G.wkt_encode(G.wkb_decode(b)))(wkb) if alike is None else spread(rings_text(alike[0]), alike[1])
     return spread((f"POINT({G.number(x)} {G.number(y)})" for x, y in fast[0].tolist()), fast[1])
 
 
@@ -97,9 +117,9 @@ def st_as_geojson(wkb: pd.Series) -> pd.Series:
     return spread((f'{{"type":"Point","coordinates":[{json.dumps(x)},{json.dumps(y)}]}}' for x, y in fast[0].tolist()), fast[1])
 
 
-st_from_text = _udf("st_from_text", T.BinaryType(), lambda t: G.wkb_encode(G.wkt_decode(t)))
+st_from_text = _udf("st_from_text", T.BinaryType(), G.wkt_to_wkb)
 st_from_geojson = _udf("st_from_geojson", T.BinaryType(), lambda t: G.wkb_encode(G.geojson_decode(json.loads(t))) if json.loads(t) is not None else None)
-st_normalise = _udf("st_normalise", T.BinaryType(), lambda b: G.wkb_encode(G.wkb_decode(b)))
+st_normalise = _udf("st_normalise", T.BinaryType(), G.wkb_normal)
 st_from_spatialite = _udf("st_from_spatialite", T.BinaryType(), lambda b: G.spatialite_decode(b)[0])
 st_spatialite_srid = _udf("st_spatialite_srid", T.IntegerType(), lambda b: G.spatialite_decode(b)[1])
 

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from .. import model as M
 from ..functions import columns as C
 from ..operators import filters, loss, reproject, text
-from ..sources import files, rdb
+from ..sources import files, geoparquet, rdb
 from . import convert as P
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -27,14 +27,24 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+DEALT = 1 << 16
+
+
+def _dealt(spark, sf_dir, name):
+    """A table whose geometries many tasks make: a row group is read by one task, so that a file of few groups is dealt out."""
+    df, cores = _table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    groups, rows = geoparquet.row_groups(spark, df.inputFiles(), cores)
+    return df.repartition(cores) if groups < cores and rows >= DEALT else df
+
+
 def points(spark, sf_dir, table="customer", key="c_custkey", crs=4326):
-    df = _table(spark, sf_dir, table)
+    df = _dealt(spark, sf_dir, table)
     k = F.col(key)
     return M.with_geometry(df, "geometry", C.st_point((k % 360 - 180).cast("double"), (k % 170 - 85).cast("double")), M.GeometryMeta("Point", M.Crs.epsg(crs)))
 
 
 def squares(spark, sf_dir):
-    df = _table(spark, sf_dir, "customer")
+    df = _dealt(spark, sf_dir, "customer")
     x, y = F.col("c_custkey") % 360 - 180, F.col("c_custkey") % 170 - 85
     wkt = F.format_string("POLYGON((%d %d,%d %d,%d %d,%d %d,%d %d))", x, y, x + 1, y, x + 1, y + 1, x, y + 1, x, y)
     return M.with_geometry(df, "geometry", C.st_from_text(wkt), M.GeometryMeta("Polygon", M.Crs.epsg(4326)))

@@ -52,6 +52,20 @@ def footer_geo(spark: SparkSession, path: str) -> str | None:
         reader.close()
 
 
+def row_groups(spark: SparkSession, files: list[str], enough: int) -> tuple[int, int]:
+    """Row groups and rows by the footers, no further than up to so many groups."""
+    jvm, conf, groups, rows = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0, 0
+    for file in files:
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file)), conf))
+        try:
+            groups, rows = groups + reader.getFooter().getBlocks().size(), rows + reader.getRecordCount()
+        finally:
+            reader.close()
+        if groups >= enough:
+            break
+    return groups, rows
+
+
 def read(spark: SparkSession, uri: Uri, options: ReadOptions) -> DataFrame:
     df = spark.read.parquet(uri.path)
     if geometry_field(df.schema) is None:

@@ -509,3 +509,36 @@ def test_single_files_are_made_of_rows_of_all_tasks(spark, tmp_path, extension):
     if extension == "gpkg":
         with sqlite3.connect(path) as db:
             assert db.execute("SELECT min_x, min_y, max_x, max_y FROM gpkg_contents").fetchall() == [(-20, 0, 19, 39)]
+
+
+def test_plain_shapes_are_as_others(spark):
+    texts = [
+        "POINT(1 2)", "point ( -.5  +1e3 ) ", "LINESTRING(0 0 , 1 1.5)", "POLYGON((0 0,4 0,4 4,0 0))", "POLYGON((0 0,1 1),(2 2,3 3))", "POLYGON( ( 1 2 , 3 4 ) )", "LINESTRING(1-2,3 4)", "POINT(1. .5)",
+    ]
+    for t in texts:
+        assert G.wkt_to_wkb(t) == G.wkb_encode(G.wkt_decode(t))
+    for t in ("POINT(1 2 3)", "POINT(1)", "LINESTRING((0 0,1 1))", "POLYGON(0 0,1 1)", "POLYGON((0 0,1 1)", "POLYGON((0 0,,1 1))", "POLYGON((1 2),3 4)", "POLYGON(1 2,(3 4))", "POINT(1 2) x"):
+        with pytest.raises(M.GeometryError):
+            G.wkt_to_wkb(t)
+    area = G.wkt_to_wkb("POLYGON((-0.0 1e22,2 2.5,2 3,-0 1e22),(1 1,2 2,1 1))")
+    assert G.wkb_normal(area) == area
+    assert G.wkb_normal(struct.pack(">BIIIdd", 0, 3, 1, 1, 1, 2)) == struct.pack("<BIIIdd", 1, 3, 1, 1, 1, 2)
+    for bad in (area[:-1], area + b"\0", area[:8], area[:9] + b"\xff" * 4 + area[13:], area[:5] + b"\xff" * 4 + area[9:]):
+        with pytest.raises(M.GeometryError):
+            G.wkb_normal(bad)
+    rings = ["POLYGON((-0 10000000000000000000000,2 2.5,2 3,0 0.0000001))", None, "POLYGON((1 2,3 4,5 6,1 2))"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rings)], "i int, t string").coalesce(1)
+    assert [r["t"] for r in df.select("i", C.st_as_text(C.st_from_text("t")).alias("t")).orderBy("i").collect()] == rings
+
+
+def test_files_of_few_row_groups_are_dealt_out(spark, tmp_path):
+    """One row group is read by one task: geometries of a large table are made by all of them."""
+    from cartolith.plans import queries
+
+    for name, rows in (("large", queries.DEALT), ("small", 100)):
+        (tmp_path / name).mkdir()
+        pq_table = pa.table({"c_custkey": pa.array(range(rows), pa.int64())})
+        pq.write_table(pq_table, tmp_path / name / "customer.parquet", row_group_size=1 << 20)
+    large = queries.squares(spark, str(tmp_path / "large"))
+    assert large.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).filter(lambda n: n > 0).count() == 4
+    assert queries.wkb_roundtrip(spark, str(tmp_path / "small")).count() == 100
