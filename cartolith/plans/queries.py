@@ -34,7 +34,7 @@ def _dealt(spark, sf_dir, name):
     """A table whose geometries many tasks make: a row group is read by one task, so that a file of few groups is dealt out."""
     df, cores = _table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
     groups, rows = geoparquet.row_groups(spark, df.inputFiles(), cores)
-    return df.repartition(cores) if groups < cores and rows >= DEALT else df
+    return df.repartition(cores) if groups * 2 <= cores and rows >= DEALT else df
 
 
 def points(spark, sf_dir, table="customer", key="c_custkey", crs=4326):

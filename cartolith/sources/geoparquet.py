@@ -126,6 +126,6 @@ def write(df: DataFrame, uri: Uri, options: WriteOptions) -> None:
         rows = put(batches, part + ".tmp")
         yield pa.RecordBatch.from_arrays([pa.array([part if rows else ""]), pa.array([rows], pa.int64())], ["file", "rows"])
 
-    for row in df.mapInArrow(each_partition, "file string, rows long").toLocalIterator():
+    for row in df.mapInArrow(each_partition, "file string, rows long").collect():  # all tasks at once; toLocalIterator() runs one after another
         if row["file"]:  # only parts of tasks that succeeded get their names
             os.replace(row["file"] + ".tmp", row["file"])

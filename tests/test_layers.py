@@ -542,3 +542,32 @@ def test_files_of_few_row_groups_are_dealt_out(spark, tmp_path):
     large = queries.squares(spark, str(tmp_path / "large"))
     assert large.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).filter(lambda n: n > 0).count() == 4
     assert queries.wkb_roundtrip(spark, str(tmp_path / "small")).count() == 100
+
+
+def test_points_are_made_without_an_object_each(spark):
+    """A batch of points is one Arrow buffer; nulls on either side stay null."""
+    import inspect
+
+    assert inspect.signature(C.st_point.func).return_annotation in ("pa.Array", pa.Array)
+    xs, ys = [1.0, None, -0.0, math.inf, 2.5, math.nan], [2.0, 1.0, None, -1.5, 1e-300, 4.0]
+    want = [None if x is None or y is None else struct.pack("<BIdd", 1, 1, x, y) for x, y in zip(xs, ys)]
+    assert C.st_point.func(pa.array(xs), pa.array(ys)).to_pylist() == want
+    assert C.st_point.func(pa.array([], pa.float64()), pa.array([], pa.float64())).to_pylist() == []
+    df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(zip(xs, ys))], "i int, x double, y double").coalesce(1)
+    assert [r["p"] for r in df.select("i", C.st_point("x", "y").alias("p")).orderBy("i").collect()] == want
+    C.register_all(spark)
+    assert bytes(spark.sql("SELECT st_point(1, 2) AS p").first()["p"]) == struct.pack("<BIdd", 1, 1, 1, 2)
+    assert spark.sql("SELECT st_point(CAST(NULL AS DOUBLE), 2D) AS p").first()["p"] is None
+
+
+def test_partitioned_geoparquet_is_one_job(spark, tmp_path):
+    """The tasks run at once, not one job after another."""
+    k = F.col("id")
+    df = M.with_geometry(spark.range(0, 80, 1, 8), "geometry", C.st_point(k.cast("double"), k.cast("double")), M.GeometryMeta("Point", M.Crs.epsg(4326)))
+    spark.sparkContext.setJobGroup("parts", "parts")
+    try:
+        P.write_layer(df, str(tmp_path / "p.parquet"), M.WriteOptions(partitioned=True))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("parts")) == 1
+    assert len(os.listdir(tmp_path / "p.parquet")) == 8
